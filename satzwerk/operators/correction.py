@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from satzwerk.functions import fixed, text as tx
 from satzwerk.operators.lexicon import Rewrites
+from satzwerk.operators.durable import checkpoint
 from satzwerk.operators.reference import lookup_tokens
 from satzwerk.operators.workers import once_per_worker
 
@@ -261,7 +262,9 @@ def correct_distinct(
     copies = answers.withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_texts") / hot_rows).cast("int") - 1))
     ).select("key", "_part", out, "error")
-    keyed = frame.withColumn("key", request_key(F.col(tokens)))
+    # Rows without tokens get a key of their own: equal NULLs would meet in one task.
+    no_request = F.concat(F.lit("none "), F.col(id_col).cast("string"))
+    keyed = frame.withColumn("key", F.coalesce(request_key(F.col(tokens)), no_request))
     if hot.isEmpty():
         keyed = keyed.withColumn("_part", F.lit(0))
     else:
@@ -270,18 +273,6 @@ def correct_distinct(
     return keyed.join(copies, ["key", "_part"], "left").drop("key", "_part")
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared checkpoint folder and cut its lineage."""
-    spark = frame.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder)
-    return frame.checkpoint()
-
-
 def correction_audit(before: Column, after: Column) -> Column:
     """What a correction did to a token list. Rules are flagged, not enforced.
 

@@ -1,0 +1,25 @@
+"""Cutting lineage in a way that survives the loss of executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def checkpoint(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` to the shared checkpoint folder and go on from there.
+
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session,
+    where every task sees the driver's disk, falls back to a temporary one.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return frame.checkpoint()

@@ -55,6 +55,17 @@ def _contraction(token: Column, form: Column, parts: dict[str, list[dict]]) -> C
     return F.transform(inline_value(form, parts, WORDS_TYPE), shown)
 
 
+def contraction_words(token: Column, lexicon: Lexicon) -> Column:
+    """The words of one token: the parts of a contraction, else the token."""
+    if not lexicon.contractions:
+        return F.array(token)
+    form = tx.casefold(token)
+    parts = _contraction(token, form, lexicon.contractions)
+    return F.when(
+        form.isin(*lexicon.contractions), F.transform(parts, lambda part: part["word"])
+    ).otherwise(F.array(token))
+
+
 def _resolve(
     token: Column, form: Column, listed: Column, tag: Column, before: Column,
     lexicon: Lexicon, verbs_only: bool,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from satzwerk.functions import fixed, tags, text as tx
 from satzwerk.operators.lexicon import Lexicon
-from satzwerk.operators.tagging import tag_texts
+from satzwerk.operators.tagging import contraction_words
 
 
 def token_table(frame: DataFrame, text: str = "text", id_col: str = "text_id") -> DataFrame:
@@ -85,11 +85,16 @@ def expand_contractions(
     text: str = "text",
     id_col: str = "text_id",
 ) -> DataFrame:
-    """One row per word, contractions split: id, tok_id, word_id, word."""
-    tagged = tag_texts(frame, lexicon, text, id_col=id_col)
-    tokens = tagged.select(id_col, F.posexplode("words.word").alias("tok_id", "_words"))
-    return tokens.select(
+    """One row per word, contractions split: id, tok_id, word_id, word. No shuffle."""
+    lexicon = Lexicon.from_rows() if lexicon is None else lexicon
+    groups = F.transform(
+        tx.tokenize(F.col(text)), lambda token: contraction_words(token, lexicon)
+    )
+    tokens = frame.select(id_col, F.posexplode(groups).alias("tok_id", "_words"))
+    words = tokens.select(id_col, "tok_id", F.posexplode("_words").alias("word_id", "word"))
+    return words.select(
         id_col,
         F.col("tok_id").cast("bigint").alias("tok_id"),
-        F.posexplode("_words").alias("word_id", "word"),
-    ).withColumn("word_id", F.col("word_id").cast("bigint"))
+        F.col("word_id").cast("bigint").alias("word_id"),
+        "word",
+    )
