@@ -12,10 +12,15 @@ SPACE_CHARS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WORD_CHARS = r"\p{L}\p{N}_"
+# The members of SPACE_CHARS one by one, for trimming.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # --- patterns ---------------------------------------------------------------
 SPACE_RUN = f"[{SPACE_CHARS}]+"
-OUTER_SPACE = rf"\A[{SPACE_CHARS}]+|[{SPACE_CHARS}]+\z"
 UNWANTED = rf"[^{WORD_CHARS}{SPACE_CHARS}.,!?-]"
 # The hyphen group is bounded: Java's matcher recurses per repetition of a
 # group and overflows its stack on a chain of some thousand segments.
@@ -33,8 +38,7 @@ DETOKENIZE_RULES = (
     (r'(["„“]) ?([^"„“]*?) ?(["„“]|\z)', "$1$2$3"),
     (r"(') ?([^']*?) ?('|\z)", "$1$2$3"),
     (r"(`) ?([^`]*?) ?(`|\z)", "$1$2$3"),
-    (r" ([,.?!:;\\%}\])])", "$1"),
-    (r"([\p{Sc}(\[{¿¡]) ", "$1"),
+    (r" ([,.?!:;\\%}\])])|([\p{Sc}(\[{¿¡]) ", "$1$2"),
 )
 
 TERMINALS = (".", "!", "?")

@@ -22,7 +22,7 @@ def clean_text(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove all Unicode white space at both ends."""
-    return F.regexp_replace(text, fixed.OUTER_SPACE, "")
+    return F.trim(text, F.lit(fixed.SPACES))
 
 
 def flatten_text(text: Column) -> Column:

@@ -13,6 +13,13 @@ from pyspark.sql import DataFrame, functions as F
 from satzwerk.functions import fixed, text as tx
 from satzwerk.operators.correction import TextCorrector, correct_whole_text
 
+# Quotes are doubled and white space at the ends of a field is kept.
+CSV_FORMAT = {
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def metrics_rows(metrics: DataFrame, name: str = "name") -> DataFrame:
     """The columns of the metrics CSV under their printed names."""
@@ -32,7 +39,7 @@ def write_metrics_csv(
     if metrics.limit(2).count() < 2:
         return False
     rows = metrics_rows(metrics.orderBy(order_by), name)
-    rows.write.csv(path, header=True, lineSep="\r\n", escape='"')
+    rows.write.csv(path, header=True, lineSep="\r\n", **CSV_FORMAT)
     return True
 
 
@@ -49,7 +56,7 @@ def write_corrected(
         cleaned, make_corrector, "_clean", "llm_corrected_text", on_error
     )
     corrected.select(*texts.columns, "llm_corrected_text").write.csv(
-        path, header=True, escape='"'
+        path, header=True, **CSV_FORMAT
     )
 
 

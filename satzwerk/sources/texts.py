@@ -75,30 +75,26 @@ def read_text_pairs(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
     original, corrected = rows.columns[:2]
     pairs = rows.select(
-        F.col(f"`{original}`").alias("original"), F.col(f"`{corrected}`").alias("corrected")
+        F.col("_metadata.file_path").alias("_file"),
+        F.monotonically_increasing_id().alias("_place"),
+        F.col(f"`{original}`").alias("original"),
+        F.col(f"`{corrected}`").alias("corrected"),
     )
-    return with_row_index(pairs)
+    return _numbered(pairs).select("row_idx", "original", "corrected")
 
 
-def with_row_index(frame: DataFrame, out: str = "row_idx") -> DataFrame:
-    """Number the rows 0, 1, 2... in the order of the source.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Number the rows 0, 1, 2... by file name and by their place in the file.
 
-    Two passes: rows are counted per partition, and each partition starts where
-    the ones before it end. Only one number per partition is gathered.
+    A file with multi-line fields is read by one task, so its rows have
+    consecutive places. Only one row per file is put in order.
     """
-    numbered = frame.withColumn("_place", F.monotonically_increasing_id())
-    part = F.shiftright("_place", 33)
-    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
-    )
-    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        numbered.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .select((F.col("_start") + within).alias(out), *frame.columns)
+    files = rows.groupBy("_file").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(
+        "_file", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
+    return rows.join(starts, "_file").withColumn("row_idx", F.col("_place") + F.col("_shift"))
 
 
 def texts_from_list(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
