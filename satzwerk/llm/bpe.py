@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -23,6 +23,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from satzwerk.llm.shared import per_text
+
 #: Entries of the memo of pieces and of pairs, after which a worker starts afresh.
 MEMO = 1 << 19
 #: Pieces longer than this are encoded without a place in the memo.
@@ -258,18 +260,14 @@ def encoded_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame
     are not looked at; an empty table gives an empty one.
     """
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[str | None], tuple]:
         bpe = encoder(vocabulary, pattern)
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                ids = bpe.encode(text) if isinstance(text, str) else b""
-                back = bpe.decode(ids)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=frame.index)
-            out.insert(0, "doc_id", frame["doc_id"])
-            yield out
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+        def digests(text: str | None) -> tuple:
+            ids = bpe.encode(text or "")
+            back = bpe.decode(ids)
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+
+        return digests
+
+    return per_text(docs, start, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from satzwerk.llm import bpe, mixing, sharding
-from satzwerk.llm.shared import table
+from satzwerk.llm import bpe, mixing, quality, sharding, tokenfiles
+from satzwerk.llm.shared import new_path, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
+END_ID = 2
 
 
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +26,18 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), 8)
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.judge(table(spark, folder, "documents"))
+
+
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of all documents, written to files and read back."""
+    path = new_path(spark, "token-files")
+    tokenfiles.write_ids(table(spark, folder, "documents"), path, public_tokenizers.path(WORD_BPE), END_ID)
+    return tokenfiles.read_digests(spark, path)
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document in the mix of all sources."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -33,6 +47,8 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_sharding": op4_sharding,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
     "op9_mixing": op9_mixing,
 }
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,3 +58,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """How many words a text has; NULL has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def per_text(docs: DataFrame, start: Callable[[], Callable[[str | None], tuple]], fields: str) -> DataFrame:
+    """Per row its doc_id and what a function makes of its text.
+
+    ``start`` is called once in each task and returns the function; ``fields``
+    names and types what that returns. Arrow batches keep ids exact even where
+    some are NULL.
+    """
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(fields).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            rows = [work(text) for text in batch.column(1).to_pylist()]
+            columns = zip(*rows) if rows else [()] * (len(arrow) - 1)
+            arrays = [pa.array(column, field.type) for column, field in zip(columns, list(arrow)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow[0].type), *arrays], schema=arrow)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
