@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from satzwerk.llm import bpe, chat, embeddings, mixing, quality, sharding, tokenfiles
+from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, quality, sharding, tokenfiles
 from satzwerk.llm.shared import new_path, saved, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -44,6 +44,11 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.read_digests(spark, path)
 
 
+def op7_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents by shingles of three words and similarity 0.85."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing": op9_mixing,
 }
