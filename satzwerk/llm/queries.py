@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, quality, sharding, tokenfiles
+from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, quality, sharding, suffixes, tokenfiles
 from satzwerk.llm.shared import new_path, saved, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,11 @@ def op2_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without strings of smaller ones."""
+    return suffixes.removal_digests(table(spark, folder, "documents"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 8 shards by virtual slots, and in 9."""
     return sharding.shard_documents(table(spark, folder, "documents"), 8)
@@ -66,6 +71,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_neardup": op2_embedding_neardup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
