@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, quality, sharding, suffixes, tokenfiles
+from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, quality, scoring, sharding, suffixes, tokenfiles
 from satzwerk.llm.shared import new_path, saved, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -68,6 +68,11 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, labels).drop("_doc")
 
 
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a model of nine tenths of them."""
+    return scoring.score_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_neardup": op2_embedding_neardup,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing": op9_mixing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 OP8_SQL = r"""
