@@ -71,6 +71,9 @@ def diff_label(number: str) -> str:
     return f"CASE WHEN {number} > 0 THEN '+' ELSE '' END || CAST({number} AS VARCHAR)"
 
 
+# Stated on its own: this engine knows no possessive groups and does not recurse.
+TOKEN = rf"[{fixed.WORD_CHARS}]+(?:-[{fixed.WORD_CHARS}]+)*|[^{fixed.WORD_CHARS}{fixed.SPACE_CHARS}]"
+
 DOCS = "SELECT doc_id AS id, text FROM documents"
 
 
@@ -86,7 +89,7 @@ def token_cte(source: str, name: str = "tok") -> list[tuple[str, str]]:
         (
             name,
             f"""SELECT id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS tok_id
-            FROM (SELECT id, regexp_extract_all(text, {lit(fixed.TOKEN)}) AS t FROM ({source}))""",
+            FROM (SELECT id, regexp_extract_all(text, {lit(TOKEN)}) AS t FROM ({source}))""",
         )
     ]
 
@@ -183,7 +186,7 @@ def label_cte(condition: str, label: str, p: str = "") -> tuple[str, str]:
 
 def gap_cte(source: str, p: str = "") -> tuple[str, str]:
     """The white space before each token, and after the last one."""
-    pieces = f"{lit(fixed.SPACE_RUN + '|' + fixed.TOKEN)}"
+    pieces = f"{lit(fixed.SPACE_RUN + '|' + TOKEN)}"
     return (
         f"{p}piece",
         f"""SELECT id, piece, n, regexp_matches(piece, {lit(fixed.SPACE_RUN)}) AS blank,
@@ -246,7 +249,6 @@ def corrected_ctes(tok: str = "tok") -> list[tuple[str, str]]:
     rules = seed_rewrites(TABLE_REWRITES) + seed_rewrites()
     single = {s[0]: d for s, d in rules if len(s) == 1}
     pair = {tuple(s): d for s, d in rules if len(s) == 2}
-    lower = "(" + ", ".join(map(lit, fixed.LOWER_INITIALS)) + ")"
     return [
         ("rw1(src, dst)", values([(s, d) for s, d in single.items()])),
         ("rw2(src, nxt, dst)", values([(*s, d) for s, d in pair.items()])),
@@ -277,7 +279,7 @@ def corrected_ctes(tok: str = "tok") -> list[tuple[str, str]]:
         ),
         (
             "caps",
-            f"""SELECT id, pos, CASE WHEN left(token, 1) IN {lower} AND
+            f"""SELECT id, pos, CASE WHEN regexp_matches(token, '\\A[\\p{{Ll}}]') AND left(token, 1) <> 'ß' AND
               coalesce(lag(token) OVER (PARTITION BY id ORDER BY pos), '.') IN {TERMINAL}
               THEN upper(left(token, 1)) || substr(token, 2) ELSE token END AS token FROM flat""",
         ),
@@ -484,7 +486,7 @@ def build() -> dict[str, str]:
         FROM src LEFT JOIN place ON place.id = src.id LEFT JOIN gone ON gone.id = src.id LEFT JOIN come ON come.id = src.id
         GROUP BY src.id""",
         "dedupe_requests": f"""SELECT count(*) AS n_texts,
-          count(DISTINCT regexp_extract_all(text, {lit(fixed.TOKEN)})) AS n_calls FROM documents""",
+          count(DISTINCT regexp_extract_all(text, {lit(TOKEN)})) AS n_calls FROM documents""",
         "usage_totals": usage_prefix() + "SELECT * FROM total",
         "cost_info": usage_prefix()
         + f"""SELECT concat_ws({lit(fixed.INFO_SEPARATOR)},

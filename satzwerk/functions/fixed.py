@@ -22,9 +22,9 @@ SPACES = (
 # --- patterns ---------------------------------------------------------------
 SPACE_RUN = f"[{SPACE_CHARS}]+"
 UNWANTED = rf"[^{WORD_CHARS}{SPACE_CHARS}.,!?-]"
-# The hyphen group is bounded: Java's matcher recurses per repetition of a
-# group and overflows its stack on a chain of some thousand segments.
-TOKEN = rf"[{WORD_CHARS}]+(?:-[{WORD_CHARS}]+){{0,8}}|[^{WORD_CHARS}{SPACE_CHARS}]"
+# The hyphen group is possessive: Java's matcher then loops over its repetitions,
+# while it recurses over those of a greedy one and overflows its stack.
+TOKEN = rf"[{WORD_CHARS}]+(?:-[{WORD_CHARS}]+)*+|[^{WORD_CHARS}{SPACE_CHARS}]"
 SENTENCE = rf"[^.!?]*[.!?][.!?{SPACE_CHARS}]*|[^.!?]+"
 NOT_PUNCTUATION = r"""[^.,!?;:"'()\[\]{}]"""
 HAS_WORD_CHAR = f"[{WORD_CHARS}]"
@@ -44,7 +44,8 @@ DETOKENIZE_RULES = (
 TERMINALS = (".", "!", "?")
 # A capital right after one of these says nothing about the word class.
 SENTENCE_OPENERS = (".", "!", "?", ":", '"', "„", "“", "”")
-LOWER_INITIALS = "abcdefghijklmnopqrstuvwxyzäöü"
+# A lower-case letter that has a capital of its own.
+LOWER_INITIAL = r"\A(?!ß)\p{Ll}"
 
 # --- verb highlighting ------------------------------------------------------
 VERB_COLOUR = "#0066cc"

@@ -10,12 +10,9 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from satzwerk.functions import fixed, text as tx
 from satzwerk.operators.lexicon import Rewrites
-from satzwerk.operators.durable import checkpoint
 from satzwerk.operators.reference import lookup_tokens
-from satzwerk.operators.workers import once_per_worker
-
-# Texts that share one request beyond this number are spread over several tasks.
-HOT_REQUEST_ROWS = 100_000
+from satzwerk.operators.settled import settled
+from satzwerk.operators.workers import once_per_worker, worker_key
 
 
 def _merged(tokens: Column, singles: Column, pairs: Column) -> Column:
@@ -88,7 +85,7 @@ def capitalise_starts(tokens: Column) -> Column:
         initial = F.substring(token, 1, 1)
         starts = before.isNull() | before.isin(*fixed.TERMINALS)
         raised = F.concat(F.upper(initial), F.substring(token, F.lit(2), F.length(token)))
-        return F.when(starts & initial.isin(*fixed.LOWER_INITIALS), raised).otherwise(token)
+        return F.when(starts & token.rlike(fixed.LOWER_INITIAL), raised).otherwise(token)
 
     return F.zip_with(tokens, tx.preceding(tokens), shown)
 
@@ -117,7 +114,7 @@ def correct_tokens(
         frame = frame.withColumn(out, capitalise_starts(F.col(out)))
     if add_period:
         frame = frame.withColumn(out, final_period(F.col(out)))
-    return frame
+    return settled(frame, **{out: F.col(out)})
 
 
 Corrector = Callable[[list[str]], list[str]]
@@ -152,8 +149,10 @@ def _apply_backend(
                 raise
             return None, f"{type(failure).__name__}: {failure}"
 
+    key = worker_key()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = once_per_worker(make_backend)
+        backend = once_per_worker(make_backend, key)
         for batch in batches:
             results = [call(backend, value) for value in batch[column]]
             yield batch.assign(
@@ -204,17 +203,22 @@ def correct_spelling(
     out: str = "corrected",
     id_col: str = "text_id",
     on_error: str = "column",
+    answers_path: str | None = None,
 ) -> DataFrame:
     """Correct a STRING or ARRAY<STRING> column into a text.
 
     ``backend`` is a rewrite table (the default) or a function that builds a
-    corrector; the latter is called once per distinct token list.
+    corrector; the latter is called once per distinct token list, and its answers
+    are kept under ``answers_path`` if that is given.
     """
     tokens = "_source_tokens"
     is_text = isinstance(frame.schema[source].dataType, StringType)
-    frame = frame.withColumn(tokens, tx.tokenize(F.col(source)) if is_text else F.col(source))
+    if is_text:
+        frame = settled(frame, **{tokens: tx.tokenize(F.col(source))})
+    else:
+        frame = frame.withColumn(tokens, F.col(source))
     if callable(backend):
-        frame = correct_distinct(frame, backend, tokens, "_fixed", id_col, on_error)
+        frame = correct_distinct(frame, backend, tokens, "_fixed", id_col, on_error, answers_path)
     else:
         frame = correct_tokens(frame, backend, tokens, "_fixed", id_col)
     return frame.withColumn(out, corrected_text(F.col("_fixed"))).drop(tokens, "_fixed")
@@ -237,6 +241,37 @@ def distinct_requests(frame: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
+def write_answers(
+    frame: DataFrame,
+    make_corrector: Callable[[], Corrector],
+    path: str,
+    tokens: str = "tokens",
+    out: str = "corrected_tokens",
+    on_error: str = "column",
+) -> DataFrame:
+    """Call the backend once per distinct token list and keep the answers as Parquet.
+
+    This runs the job. Later plans read the answers, so paid calls are not made
+    again after the loss of an executor and no answer changes between its uses.
+    """
+    answers = correct_with(distinct_requests(frame, tokens), make_corrector, tokens, out, on_error)
+    answers.select("key", out, "error").write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def with_answers(
+    frame: DataFrame, answers: DataFrame, tokens: str = "tokens", id_col: str = "text_id"
+) -> DataFrame:
+    """Join the answers to the texts of each request.
+
+    Very frequent requests make skewed keys, which adaptive execution splits. Rows
+    without tokens have no request; keys of their own keep them apart.
+    """
+    no_request = F.concat(F.lit("none "), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    keyed = frame.withColumn("key", F.coalesce(request_key(F.col(tokens)), no_request))
+    return keyed.join(answers, "key", "left").drop("key")
+
+
 def correct_distinct(
     frame: DataFrame,
     make_corrector: Callable[[], Corrector],
@@ -244,33 +279,19 @@ def correct_distinct(
     out: str = "corrected_tokens",
     id_col: str = "text_id",
     on_error: str = "column",
-    hot_rows: int = HOT_REQUEST_ROWS,
+    answers_path: str | None = None,
 ) -> DataFrame:
     """Call the backend once per distinct token list and join the answers back.
 
-    The answers are checkpointed: a lost executor must not cause paid calls to
-    be made again, and an answer must not change between its uses. A request
-    shared by very many texts gets several copies of its answer, so that its
-    texts are joined in several tasks.
+    With ``answers_path`` the calls are made now and kept there. Without it this
+    only makes a plan: fit for backends whose calls may be repeated.
     """
-    answers = correct_with(distinct_requests(frame, tokens), make_corrector, tokens, out, on_error)
-    answers = checkpoint(answers.select("key", out, "error", "n_texts"))
-    # At most (all texts / hot_rows) keys, each with one number.
-    hot = answers.where(F.col("n_texts") > hot_rows).select(
-        "key", F.ceil(F.col("n_texts") / hot_rows).cast("int").alias("_parts")
-    )
-    copies = answers.withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_texts") / hot_rows).cast("int") - 1))
-    ).select("key", "_part", out, "error")
-    # Rows without tokens get a key of their own: equal NULLs would meet in one task.
-    no_request = F.concat(F.lit("none "), F.col(id_col).cast("string"))
-    keyed = frame.withColumn("key", F.coalesce(request_key(F.col(tokens)), no_request))
-    if hot.isEmpty():
-        keyed = keyed.withColumn("_part", F.lit(0))
+    if answers_path is not None:
+        answers = write_answers(frame, make_corrector, answers_path, tokens, out, on_error)
     else:
-        part = F.pmod(F.xxhash64(id_col), F.coalesce("_parts", F.lit(1))).cast("int")
-        keyed = keyed.join(F.broadcast(hot), "key", "left").withColumn("_part", part).drop("_parts")
-    return keyed.join(copies, ["key", "_part"], "left").drop("key", "_part")
+        requests = distinct_requests(frame, tokens)
+        answers = correct_with(requests, make_corrector, tokens, out, on_error).select("key", out, "error")
+    return with_answers(frame, answers, tokens, id_col)
 
 
 def correction_audit(before: Column, after: Column) -> Column:

@@ -114,8 +114,6 @@ ten en VERB Past
 te en VERB Past
 """
 MIN_STEM = 3
-# Suffix rules are tried one after the other inside an expression.
-MAX_SUFFIXES = 200
 
 SEED_CONTRACTIONS = """
 im: in dem
@@ -249,6 +247,8 @@ class Lexicon:
     ) -> Lexicon:
         """A lexicon table of LEXICON_SCHEMA of any size.
 
+        Suffix rules are grammar, written by hand; all of them come to the driver.
+
         Of several rows for a form the one of lowest ``priority`` counts.
         """
         ranked = F.struct("priority", "lemma", "upos", "tense")
@@ -259,7 +259,7 @@ class Lexicon:
             .select("key", F.struct("best.lemma", "best.upos", "best.tense").alias("value"))
         )
         rules = frame.where(F.col("kind") == "suffix")
-        suffixes = rules.select("form", "lemma", "upos", "tense", "priority").limit(MAX_SUFFIXES + 1)
+        suffixes = rules.select("form", "lemma", "upos", "tense", "priority")
         return Lexicon._assemble(
             ReferenceTable.from_frame(forms, **limits),
             [tuple(rule) for rule in suffixes.collect()],
@@ -268,8 +268,6 @@ class Lexicon:
 
     @staticmethod
     def _assemble(forms: ReferenceTable, suffixes: list, contractions: dict | None) -> Lexicon:
-        if len(suffixes) > MAX_SUFFIXES:
-            raise ValueError(f"more than {MAX_SUFFIXES} suffix rules; list whole forms instead")
         contractions = seed_contractions() if contractions is None else contractions
         parts = forms.subset(word for words in contractions.values() for word in words)
         unknown = {"lemma": None, "upos": "X", "tense": None}

@@ -2,10 +2,10 @@
 
 A lookup runs in one of three ways, chosen by the *measured* size of the table:
 
-inline     few rows: a literal inside the expression; no join, no shuffle
+inline     little: a literal inside the expression; no join, no shuffle
 broadcast  fits in executor memory: tokens are exploded and hash-joined
-salted     larger: both sides shuffle on the key plus a salt, so that a token
-           that makes up a large share of the corpus is spread over many tasks
+shuffled   larger: tokens and table meet by key; adaptive execution splits the
+           partition of a token that makes up a large share of the corpus
 
 The corpus is never broadcast. A reference table does not grow with it.
 """
@@ -19,9 +19,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-INLINE_ROWS = 5_000
+# The literal travels with every task.
+INLINE_BYTES = 1024 * 1024
 BROADCAST_BYTES = 128 * 1024 * 1024
-MAX_SALTS = 1024
 
 
 @dataclass(frozen=True)
@@ -35,22 +35,25 @@ class ReferenceTable:
 
     @staticmethod
     def from_rows(rows: Mapping[str, Any], value_type: str) -> ReferenceTable:
-        """A table the driver already holds, such as the seed lexicon."""
-        if len(rows) > INLINE_ROWS:
-            raise ValueError(f"{len(rows)} rows are too many to inline; pass them as a DataFrame")
+        """A table the driver already holds, such as the seed lexicon.
+
+        Beyond ``INLINE_BYTES`` it becomes a DataFrame of the active session.
+        """
+        if len(json.dumps(dict(rows), ensure_ascii=False).encode()) > INLINE_BYTES:
+            frame = reference_frame(SparkSession.active(), rows, value_type)
+            return ReferenceTable.from_frame(frame)
         return ReferenceTable(value_type, "inline", rows=dict(rows))
 
     @staticmethod
     def from_frame(
         frame: DataFrame,
-        inline_rows: int = INLINE_ROWS,
+        inline_bytes: int = INLINE_BYTES,
         broadcast_bytes: int = BROADCAST_BYTES,
     ) -> ReferenceTable:
         """Measure ``frame(key, value)`` with one job and choose the way to look it up."""
         frame = frame.select("key", "value")
         value_type = frame.schema["value"].dataType.simpleString()
         size = frame.select(
-            F.count("*").alias("rows"),
             F.coalesce(
                 F.sum(
                     F.octet_length("key")
@@ -59,11 +62,11 @@ class ReferenceTable:
                 F.lit(0),
             ).alias("bytes"),
         ).first()
-        if size.rows <= inline_rows and size.bytes <= broadcast_bytes:
+        if size.bytes <= inline_bytes:
             pairs = frame.select("key", F.to_json(F.struct("value")).alias("json")).collect()
             rows = {pair.key: json.loads(pair.json).get("value") for pair in pairs}
             return ReferenceTable(value_type, "inline", rows=rows)
-        how = "broadcast" if size.bytes <= broadcast_bytes else "salted"
+        how = "broadcast" if size.bytes <= broadcast_bytes else "shuffled"
         return ReferenceTable(value_type, how, frame=frame)
 
     def subset(self, keys: Iterable[str]) -> dict[str, Any]:
@@ -103,7 +106,7 @@ def lookup_tokens(
         )
     if table.how == "broadcast":
         return _broadcast_lookup(frame, keys, table, out, id_col)
-    return _salted_lookup(frame, keys, table, out, id_col)
+    return _shuffled_lookup(frame, keys, table, out, id_col)
 
 
 def _aligned(found: str, keys: Column, value_type: str) -> Column:
@@ -138,7 +141,7 @@ def _broadcast_lookup(
         ).cast(place),
     )
     places = frame.repartition(id_col).select(
-        F.col(id_col).alias("_id"),
+        _known(id_col).alias("_id"),
         F.inline(F.concat(head, F.coalesce(tail, F.array().cast(f"array<{place}>")))),
     )
     hit = F.when(F.col("value").isNotNull(), F.struct("pos", "value"))
@@ -152,28 +155,31 @@ def _broadcast_lookup(
     return rows.select("row.*", value.alias(out))
 
 
-def _salted_lookup(
+def _shuffled_lookup(
     frame: DataFrame, keys: str, table: ReferenceTable, out: str, id_col: str
 ) -> DataFrame:
-    """Shuffle join on (key, salt); only ids, places and tokens take part."""
-    salts = min(MAX_SALTS, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    places = frame.select(F.col(id_col).alias("_id"), F.posexplode_outer(keys).alias("pos", "key"))
-    copies = table.frame.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Shuffle join on the key; only ids, places and tokens take part."""
+    places = frame.select(_known(id_col).alias("_id"), F.posexplode_outer(keys).alias("pos", "key"))
     found = (
-        places.withColumn("_salt", F.pmod(F.xxhash64("_id", "pos"), F.lit(salts)).cast("int"))
-        .join(copies, ["key", "_salt"])
+        places.join(table.frame, "key")
         .groupBy("_id")
         .agg(F.collect_list(F.struct("pos", "value")).alias("_found"))
     )
     value = _aligned("_found", F.col(keys), table.value_type)
     return (
-        frame.join(found, F.col(id_col) == F.col("_id"), "left")
+        frame.join(found, _known(id_col) == F.col("_id"), "left")
         .withColumn("_found", F.coalesce("_found", F.array()))
         .withColumn(out, value)
         .drop("_id", "_found")
     )
 
 
+def _known(id_col: str) -> Column:
+    """The id of a row, which puts its tokens together again; NULL cannot, so it ends the job."""
+    missing = F.raise_error(F.lit(f"{id_col} is NULL: a look-up by join needs an id for every row"))
+    return F.coalesce(F.col(id_col), missing)
+
+
 def reference_frame(spark: SparkSession, rows: Mapping[str, Any], value_type: str) -> DataFrame:
     """``rows`` as a (key, value) frame, for joining or for writing out."""
     schema = f"key string, value {value_type}"

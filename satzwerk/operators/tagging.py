@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from satzwerk.functions import fixed, text as tx
 from satzwerk.operators.lexicon import MIN_STEM, TAG_TYPE, Lexicon
 from satzwerk.operators.reference import inline_value, lookup_tokens
-from satzwerk.operators.workers import once_per_worker
+from satzwerk.operators.settled import settled
+from satzwerk.operators.workers import once_per_worker, worker_key
 
 WORDS_TYPE = "array<struct<word:string,lemma:string,upos:string,tense:string>>"
 VERB_CLASSES = ("VERB", "AUX")
@@ -30,13 +31,21 @@ def _nothing() -> Column:
 
 
 def _by_suffix(token: Column, form: Column, rules: tuple) -> Column:
-    """The word by its longest suffix with MIN_STEM letters before it, else NULL."""
+    """The word by its longest suffix with MIN_STEM letters before it, else NULL.
+
+    One look-up for each length that a suffix has, however many rules there are.
+    """
+    by_length: dict[int, dict[str, dict]] = {}
+    for suffix, ending, upos, tense in rules:
+        rule = {"lemma": ending, "upos": upos, "tense": tense}
+        by_length.setdefault(len(suffix), {}).setdefault(suffix, rule)
     found = _nothing()
-    for suffix, ending, upos, tense in reversed(rules):
-        stem = F.substring(form, F.lit(1), F.length(form) - len(suffix))
-        hit = form.endswith(suffix) & (F.length(form) >= len(suffix) + MIN_STEM)
-        word = F.array(_word(token, F.concat(stem, F.lit(ending)), upos, tense))
-        found = F.when(hit, word).otherwise(found)
+    for length, endings in sorted(by_length.items()):
+        rule = inline_value(F.right(form, F.lit(length)), endings, TAG_TYPE)
+        stem = F.substring(form, F.lit(1), F.length(form) - length)
+        word = _word(token, F.concat(stem, rule["lemma"]), rule["upos"], rule["tense"])
+        hit = (F.length(form) >= length + MIN_STEM) & F.right(form, F.lit(length)).isin(*endings)
+        found = F.when(hit, F.array(word)).otherwise(found)
     return found
 
 
@@ -120,26 +129,34 @@ def tag_tokens(
     id_col: str = "text_id",
     verbs_only: bool = False,
 ) -> DataFrame:
-    """Add the tagged words of an ARRAY<STRING> column, aligned with it."""
+    """Add the tagged words of an ARRAY<STRING> column, aligned with it.
+
+    What a token needs of its neighbours is zipped to it: an array reached from
+    inside the lambda could be put together anew for every token.
+    """
     lexicon = Lexicon.from_rows() if lexicon is None else lexicon
-    frame = frame.withColumn("_forms", F.transform(tokens, tx.casefold))
+    frame = settled(frame, **{tokens: F.col(tokens)})
+    parts = [F.col(tokens).alias("token"), tx.preceding(F.col(tokens)).alias("before")]
     if lexicon.forms.how == "inline":
         rows = lexicon.forms.rows
+        parts.append(F.transform(tokens, tx.casefold).alias("form"))
 
-        def words(form: Column, place: Column) -> Column:
-            # Both arrays are columns here, so reading a place is cheap.
-            token, before = F.get(tokens, place), F.get(tokens, place - 1)
+        def words(entry: Column) -> Column:
+            form = entry["form"]
             listed = form.isin(*rows) if rows else F.lit(False)
             tag = inline_value(form, rows, TAG_TYPE)
-            return _resolve(token, form, listed, tag, before, lexicon, verbs_only)
+            return _resolve(entry["token"], form, listed, tag, entry["before"], lexicon, verbs_only)
     else:
+        frame = settled(frame, _forms=F.transform(tokens, tx.casefold))
         frame = lookup_tokens(frame, "_forms", lexicon.forms, "_tags", id_col)
+        parts += [F.col("_forms").alias("form"), F.col("_tags").alias("tag")]
 
-        def words(form: Column, place: Column) -> Column:
-            token, before, tag = F.get(tokens, place), F.get(tokens, place - 1), F.get("_tags", place)
-            return _resolve(token, form, tag.isNotNull(), tag, before, lexicon, verbs_only)
+        def words(entry: Column) -> Column:
+            token, form, tag = entry["token"], entry["form"], entry["tag"]
+            return _resolve(token, form, tag.isNotNull(), tag, entry["before"], lexicon, verbs_only)
 
-    return frame.withColumn(out, F.transform("_forms", words)).drop("_forms", "_tags")
+    tagged = F.transform(F.arrays_zip(*parts), words)
+    return settled(frame, **{out: tagged}).drop("_forms", "_tags")
 
 
 def tag_texts(
@@ -171,9 +188,11 @@ def tag_with(
     dicts with ``word``, ``lemma``, ``upos`` and ``tense``.
     """
 
-    @F.pandas_udf(f"array<{WORDS_TYPE}>")
+    key = worker_key()
+
+    @F.pandas_udf(WORDS_TYPE)
     def run(texts: pd.Series) -> pd.Series:
-        tagger = once_per_worker(make_tagger)
+        tagger = once_per_worker(make_tagger, key)
         return texts.map(lambda row: None if row is None else tagger(list(row)))
 
     return frame.withColumn(out, run(F.col(tokens)))
@@ -181,9 +200,10 @@ def tag_with(
 
 def word_table(frame: DataFrame, words: str = "words", id_col: str = "text_id") -> DataFrame:
     """One row per word: id, tok_id, word_id, word, lemma, upos, tense."""
-    tokens = frame.select(id_col, F.posexplode(words).alias("tok_id", "_group"))
-    words = tokens.select(id_col, "tok_id", F.posexplode("_group").alias("word_id", "_word"))
-    return words.select(
+    # Outer, with a filter on what comes out: the other form puts one on what goes in.
+    tokens = frame.select(id_col, F.posexplode_outer(words).alias("tok_id", "_group"))
+    words = tokens.select(id_col, "tok_id", F.posexplode_outer("_group").alias("word_id", "_word"))
+    return words.where("word_id IS NOT NULL").select(
         id_col,
         F.col("tok_id").cast("bigint").alias("tok_id"),
         F.col("word_id").cast("bigint").alias("word_id"),

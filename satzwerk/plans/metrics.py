@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from satzwerk.functions import fixed, tags, text as tx
 from satzwerk.operators.correction import Corrector, correct_spelling
 from satzwerk.operators.lexicon import Lexicon, Rewrites
+from satzwerk.operators.settled import settled
 from satzwerk.operators.tagging import tag_texts
 from satzwerk.sources.texts import read_text_files, texts_from_list
 
@@ -95,15 +96,12 @@ def text_metrics(
     Adds corrected, total_words, total_verbs, main_verbs, aux_verbs, verbs and
     highlighted. What is not selected afterwards is not computed.
     """
-    flat = (
-        texts.withColumn("_flat", tx.flatten_text(F.col(text)))
-        .withColumn("_source", tx.tokenize(F.col("_flat")))
-        .withColumn("total_words", tx.word_count(F.col("_source")))
-    )
+    flat = settled(texts, _source=tx.tokenize(tx.flatten_text(F.col(text))))
+    flat = flat.withColumn("total_words", tx.word_count(F.col("_source")))
     corrected = correct_spelling(flat, backend, "_source", "corrected", id_col, "raise")
     tagged = tag_texts(corrected, lexicon, "corrected", "_tokens", "_words", id_col, verbs_only=True)
     return (
-        tagged.withColumn("verbs", tags.verbs(F.col("_words"), include_aux=True))
+        settled(tagged, verbs=tags.verbs(F.col("_words"), include_aux=True))
         .withColumn("total_verbs", tags.size_of(F.col("verbs")))
         .withColumn("main_verbs", tags.of_class(F.col("verbs"), "VERB"))
         .withColumn("aux_verbs", tags.of_class(F.col("verbs"), "AUX"))
@@ -111,7 +109,7 @@ def text_metrics(
             "highlighted",
             tags.highlight_verbs(F.col("corrected"), F.col("_tokens"), F.col("_words")),
         )
-        .drop("_flat", "_source", "_tokens", "_words")
+        .drop("_source", "_tokens", "_words")
     )
 
 
