@@ -28,8 +28,10 @@ PERCENTILE = 90
 PAGE_IDS = 1 << 17
 #: Bytes of text that a file holds, roughly.
 FILE_BYTES = 32 << 20
+#: Files whose places in the whole (16 bytes each) are broadcast; more are joined.
+MAX_BROADCAST = 1 << 20
 #: Distinct stretches of text that a worker remembers the ids of.
-MEMO = 1 << 19
+MEMO = 1 << 20
 #: Marks that end a token after a letter; the apostrophe is none of them.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -138,24 +140,51 @@ def unpack_block(page: dict[str, bytes], number: int) -> np.ndarray:
 
 
 class _Stretches(dict):
-    """The ids of stretches between white space, each encoded once."""
+    """The ids of stretches between white space, each encoded once.
+
+    Half the memo at a time grows old; what is met again before the next half is
+    full is taken over, so frequent stretches stay.
+    """
 
     def __init__(self, encode: Callable[[str], list[int]]):
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, stretch: str) -> bytes:
-        core = stretch.rstrip(MARKS)
-        if core != stretch and core[-1:].isalpha():  # a token never holds both
-            ids = self[core] + self[stretch[len(core) :]]
-        else:
-            ids = np.array(self.encode(stretch), dtype="<u4").tobytes()
+        ids = self.old.get(stretch)
+        if ids is None:
+            core = stretch.rstrip(MARKS)
+            if core != stretch and core[-1:].isalpha():  # a token never holds both
+                ids = self[core] + self[stretch[len(core) :]]
+            else:
+                ids = np.array(self.encode(stretch), dtype="<u4").tobytes()
         if len(stretch) <= 256:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:
+                self.old = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
 
 
+#: Python's split takes these for white space; the vocabulary does not.
+_separators = re.compile("[\x1c-\x1f]").search
+_spaces = re.compile(r"[ \t\n\r\x0b\x0c]+").split
+
+
+def stretches_of(text: str) -> list[str]:
+    """The stretches between white space, in lower case where that is plain.
+
+    Letters of Latin-1 have one lower-case form whatever stands around them, so
+    texts of these alone are lowered at once; other texts are left to the library.
+    """
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return _spaces(text) if _separators(text) else text.split()
+
+
 _ready: dict[tuple[str, bool], Callable[[str], bytes]] = {}
 
 
@@ -163,8 +192,8 @@ def word_tokenizer(path: str, by_stretch: bool = True) -> Callable[[str], bytes]
     """Text to ids with a file of the tokenizers library, without special tokens.
 
     Their strings in a text are ordinary text. ``by_stretch`` is for vocabularies
-    that drop white space and never look across it: each stretch between white
-    space is then encoded once and remembered.
+    of lower case that drop white space and never look across it: each stretch
+    between white space is then encoded once and remembered.
     """
     key = (path, by_stretch)
     if key not in _ready:
@@ -178,8 +207,7 @@ def word_tokenizer(path: str, by_stretch: bool = True) -> Callable[[str], bytes]
 
         if by_stretch:
             stretches = _Stretches(encode)
-            split = re.compile(r"[ \t\n\r\x0b\x0c]+").split
-            _ready[key] = lambda text: b"".join(map(stretches.__getitem__, split(text)))
+            _ready[key] = lambda text: b"".join(map(stretches.__getitem__, stretches_of(text)))
         else:
             _ready[key] = lambda text: np.array(encode(text), dtype="<u4").tobytes()
     return _ready[key]
@@ -265,6 +293,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, fields: str, made: Callable[[np.ndarray], tuple]) -> DataFrame:
     pages = spark.read.schema(PAGE_TYPE).parquet(path)
+    last = pages.agg(F.max("file_no")).first()[0] or 0
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = (
         pages.groupBy("file_no")
@@ -290,5 +319,7 @@ def _read(spark: SparkSession, path: str, fields: str, made: Callable[[np.ndarra
                 arrays += [pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[3:], strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
+    if last < MAX_BROADCAST:
+        files = F.broadcast(files)
     placed = pages.join(files, F.col("file_no") == F.col("_file"))
     return placed.withColumn("start", F.col("_before") + F.col("first_id")).drop("_file", "_before").mapInArrow(run, schema)
