@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from satzwerk.functions import fixed, text as tx
@@ -36,10 +37,16 @@ def write_metrics_csv(
 
     Returns whether anything was written.
     """
-    if metrics.limit(2).count() < 2:
-        return False
-    rows = metrics_rows(metrics.orderBy(order_by), name)
-    rows.write.csv(path, header=True, lineSep="\r\n", **CSV_FORMAT)
+    labels = (F.col(column).alias(label) for label, column in fixed.METRIC_SERIES.items())
+    rows = metrics.select(F.col(order_by).alias("_order"), F.col(name).alias("Text"), *labels)
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        if len(rows.select("Text").take(2)) < 2:
+            return False
+        # Sorting samples its input first; the rows themselves are made once.
+        rows.orderBy("_order").drop("_order").write.csv(path, header=True, lineSep="\r\n", **CSV_FORMAT)
+    finally:
+        rows.unpersist()
     return True
 
 

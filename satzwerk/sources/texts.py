@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
+import re
 from collections.abc import Iterable, Sequence
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -36,35 +40,83 @@ def read_texts(
 def read_text_files(spark: SparkSession, paths: str | Path | Sequence[str | Path]) -> DataFrame:
     """Each UTF-8 file is one text: text_id, filename, text.
 
-    A list keeps its order, and a file named twice comes twice. A folder or
-    pattern is ordered by path, with text_id NULL.
+    A list keeps its order (text_id counts from 0), a file named twice comes
+    twice, and a file that is not there is an error. A single string is a folder,
+    a pattern or a file for Spark to list; text_id is then a hash of the address.
+    Addresses may have any scheme that Spark reads.
     """
     if isinstance(paths, (str, Path)):
-        return _whole_files(spark, [str(paths)]).select(
-            F.lit(None).cast("bigint").alias("text_id"), "filename", "text"
-        )
-    absolute = [str(Path(path).absolute()) for path in paths]
-    if not absolute:
+        files = _whole_files(spark, [str(paths)])
+        return files.select(F.xxhash64("_path").alias("text_id"), "filename", "text")
+    if not paths:
         return spark.createDataFrame([], "text_id bigint, filename string, text string")
-    wanted = spark.createDataFrame(
-        list(enumerate(absolute)), "text_id bigint, _path string"
-    )
-    files = _whole_files(spark, sorted(set(absolute)))
-    return wanted.join(files, "_path").select("text_id", "filename", "text")
+    wanted = [_address(spark, str(path)) for path in paths]
+    files = _whole_files(spark, sorted({_no_pattern(path) for path in wanted}))
+    missing = set(wanted) - {_decoded(path) for path in files.inputFiles()}
+    if missing:
+        raise FileNotFoundError(f"no such files: {sorted(missing)[:10]}")
+    order = spark.createDataFrame(list(enumerate(wanted)), "text_id bigint, _path string")
+    return order.join(files, "_path").select("text_id", "filename", "text")
+
+
+def _address(spark: SparkSession, path: str) -> str:
+    """The address of a file with its scheme and without ``.`` and ``..``."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        jvm = spark.sparkContext._jvm
+        default = jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration())
+        if default.getScheme() == "file":
+            path = os.path.abspath(path)
+        else:
+            path = str(default.toString()).rstrip("/") + posixpath.normpath(posixpath.join("/", path))
+    return _one_form(path)
+
+
+def _one_form(path: str) -> str:
+    scheme, _, rest = path.partition(":/") if ":/" in path else ("file", "", path)
+    if scheme == "file":
+        return "file:///" + posixpath.normpath("/" + rest.lstrip("/")).lstrip("/")
+    host, slash, rest = rest.lstrip("/").partition("/")
+    return f"{scheme}://{host}{slash}{posixpath.normpath(rest) if rest else rest}"
+
+
+def _no_pattern(path: str) -> str:
+    """The address with the signs of a pattern made plain."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def _decoded(address: str) -> str:
+    """An address as Spark reports it, in the form of ``_address``."""
+    return _one_form(unquote(address))
 
 
 def _whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    address = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return spark.read.text(paths, wholetext=True).select(
-        F.regexp_replace(F.url_decode(address), r"\Afile:/+", "/").alias("_path"),
-        _file_name().alias("filename"),
+    """_path, filename and text of each file; Spark leaves out empty files, so these are added."""
+    address = plain_address(F.col("_metadata.file_path"))
+    full = spark.read.text(paths, wholetext=True).select(
+        F.regexp_replace(address, r"\Afile:/+", "file:///").alias("_path"),
+        plain_address(F.col("_metadata.file_name")).alias("filename"),
         tx.universal_newlines(F.col("value")).alias("text"),
     )
+    empty = [(path, posixpath.basename(path), "") for path in _empty_files(spark, paths)]
+    return full.unionByName(spark.createDataFrame(empty, full.schema)) if empty else full
+
+
+def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The addresses of empty files, from the listing that Spark itself works by."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for path in paths:
+        system = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in system.globStatus(path_of(path)) or ():
+            for file in system.listStatus(status.getPath()):
+                if file.isFile() and file.getLen() == 0 and file.getPath().getName()[0] not in "._":
+                    found.append(_one_form(file.getPath().toString()))
+    return found
 
 
-def _file_name() -> Column:
-    address = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
-    return F.url_decode(address)
+def plain_address(address: Column) -> Column:
+    """An address without its percent signs; a plus is a plus."""
+    return F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B")))
 
 
 def read_text_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +139,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
     """Number the rows 0, 1, 2... by file name and by their place in the file.
 
     A file with multi-line fields is read by one task, so its rows have
-    consecutive places. Only one row per file is put in order.
+    consecutive places. Only one row per file is put in order; these are few, and
+    broadcast if Spark measures them so.
     """
     files = rows.groupBy("_file").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from satzwerk.functions import text as tx
+from satzwerk.sources.texts import plain_address
 
 
 def read_text_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Each new file in ``folder`` is one text: filename, text."""
     files = spark.readStream.text(folder, wholetext=True)
     return files.select(
-        F.col("_metadata.file_name").alias("filename"),
+        plain_address(F.col("_metadata.file_name")).alias("filename"),
         tx.universal_newlines(F.col("value")).alias("text"),
     )
 
