@@ -176,6 +176,19 @@ def count_by_doc(condition: str) -> str:
     )
 
 
+# Of the forms seen twice, those whose length is a multiple of three are verbs.
+VOCABULARY_VERBS = (
+    with_(
+        ("src", DOCS),
+        *token_cte("FROM src"),
+        ("forms", f"SELECT id, {folded('token')} AS form FROM tok"),
+        ("lex", "SELECT form FROM forms GROUP BY form HAVING count(*) >= 2 AND length(form) % 3 = 0"),
+    )
+    + """SELECT src.id AS doc_id, count(lex.form) AS verb_count
+    FROM src LEFT JOIN forms ON forms.id = src.id LEFT JOIN lex ON lex.form = forms.form GROUP BY 1"""
+)
+
+
 def label_cte(condition: str, label: str, p: str = "") -> tuple[str, str]:
     """One label per token: that of its first matching word."""
     return (
@@ -507,6 +520,8 @@ def build() -> dict[str, str]:
         "count_verbs": count_by_doc(VERB),
         "count_verbs_aux": count_by_doc(ANY_VERB),
         "count_verbs_exclude": count_by_doc(excluded),
+        "count_verbs_broadcast": VOCABULARY_VERBS,
+        "count_verbs_shuffled": VOCABULARY_VERBS,
         "verbs_list": tagged_ctes()
         + f"""SELECT src.id AS doc_id,
           coalesce(string_agg(concat_ws('/', word, lemma, upos), ' ' ORDER BY tok_id, word_id), '') AS verbs

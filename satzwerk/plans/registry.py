@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from satzwerk.functions import tags, text as tx
 from satzwerk.operators import correction, tokens as tk, usage as us
-from satzwerk.operators.lexicon import Rewrites, examples_frame, seed_rewrites
+from satzwerk.operators.lexicon import Lexicon, Rewrites, examples_frame, seed_rewrites
 from satzwerk.operators.tagging import tag_texts, word_table
 from satzwerk.plans import metrics as plans
 from satzwerk.sources.sinks import metrics_rows
@@ -199,6 +199,26 @@ def _count(**options) -> Query:
     return query
 
 
+def vocabulary_lexicon(spark: SparkSession, folder: str, **limits: int) -> Lexicon:
+    """A lexicon that grows with the corpus: each form seen twice, its class by its length."""
+    length = F.length("form") % 3
+    upos = F.when(length == 0, "VERB").when(length == 1, "AUX").otherwise("NOUN")
+    seen = casefold_vocab(spark, folder).where("n >= 2").select(
+        F.lit("form").alias("kind"), "form", F.col("form").alias("lemma"), upos.alias("upos"),
+        F.lit(None).cast("string").alias("tense"), F.lit(1).alias("priority"),
+    )
+    return Lexicon.from_frame(seen, contractions={}, **limits)
+
+
+def _vocabulary_verbs(**limits: int) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        lexicon = vocabulary_lexicon(spark, folder, **limits)
+        tagged = tag_texts(documents(spark, folder), lexicon, id_col="doc_id", verbs_only=True)
+        return tagged.select("doc_id", tags.verb_count(F.col("words")).alias("verb_count"))
+
+    return query
+
+
 def highlight_verbs(spark: SparkSession, folder: str) -> DataFrame:
     marked = tags.highlight_verbs(F.col("text"), F.col("tokens"), F.col("words"))
     return _tagged(spark, folder).select("doc_id", marked.alias("highlighted"))
@@ -258,6 +278,8 @@ QUERIES: dict[str, Query] = {
     "count_verbs": _count(),
     "count_verbs_aux": _count(include_aux=True),
     "count_verbs_exclude": _count(include_aux=True, exclude=EXCLUDED),
+    "count_verbs_broadcast": _vocabulary_verbs(inline_bytes=0),
+    "count_verbs_shuffled": _vocabulary_verbs(inline_bytes=0, broadcast_bytes=0),
     "verbs_list": verbs_list,
     "verb_split": verb_split,
     "highlight_verbs": highlight_verbs,
