@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from satzwerk.llm.shared import forget, saved
@@ -45,3 +46,16 @@ def roots(edges: DataFrame) -> DataFrame:
         edges = saved(small, "links")
         forget(old)
     return edges.select("u", F.col("v").alias("root"))
+
+
+def spread(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric matrix of links the smallest row that each row reaches."""
+    label = np.arange(len(linked))
+    far = len(linked)
+    while True:
+        least = np.where(linked, label[None, :], far).min(axis=1, initial=far)
+        new = np.minimum(label, least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new

@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from satzwerk.llm.components import roots
+from satzwerk.llm.components import roots, spread
 from satzwerk.llm.shared import saved
 
 THRESHOLD = 0.93
 TABLES, PARTS, CODES, HEIGHT = 12, 2, 32, 2.6
+#: The greatest inner product that a filter asks for.
+MOST = 0.6
 #: Vectors of a bucket that one task compares at once; larger buckets are split.
 BLOCK = 2048
 
@@ -56,7 +58,8 @@ class Code:
             words = [w / np.linalg.norm(w, axis=1, keepdims=True) for w in words]
             self.tables.append([turn[:, cut] @ w.T for cut, w in zip(cuts, words, strict=True)])
         # A direction is its words side by side, divided by the root of their number.
-        self.need = height / np.sqrt(size) * np.sqrt(parts)
+        # In few dimensions no inner product is so many deviations large.
+        self.need = min(height / np.sqrt(size), MOST) * np.sqrt(parts)
         self.codes, self.in_table = codes, codes**parts
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,19 +152,6 @@ def filter_entries(vectors: DataFrame, with_vectors: bool, **code) -> DataFrame:
     return vectors.select("label", "vec_id", "weight", "embedding").mapInArrow(run, schema)
 
 
-def spread(linked: np.ndarray) -> np.ndarray:
-    """For a symmetric matrix of links the smallest row that each row reaches."""
-    label = np.arange(len(linked))
-    far = len(linked)
-    while True:
-        least = np.where(linked, label[None, :], far).min(axis=1, initial=far)
-        new = np.minimum(label, least)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def compare(ids, weights, units, smaller, blocks, crossing: bool, threshold: float):
     """Links of one bucket (or of two blocks of it): per linked row its id, weight of new links, root.
 
