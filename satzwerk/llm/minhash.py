@@ -7,13 +7,14 @@ signature is cut into ``CHUNKS`` chunks of four positions. If two signatures
 differ in fewer than twice as many positions as there are chunks, some chunk
 holds one error at most (pigeonhole), so both chunks are equal once the right one
 of four positions is left out. Each document is therefore indexed under every
-chunk with every position left out: all pairs within ``DISTANCE`` meet, and of
-pairs at similarity 0.85 fewer than one in ten million misses that.
-
-Whoever meets is not yet linked: links are confirmed on the full shingle sets.
-Documents with equal sets are one, so copies never meet as pairs. Within a bucket
-each document first meets the smallest alone; only what then still belongs to
-different components of a bucket is compared further, and all of that is.
+chunk with every position left out, and all pairs within ``DISTANCE`` meet. Of
+pairs at similarity 0.85 about one in a million lies beyond that distance.
+
+What meets within the distance is put together to clusters, and within a cluster
+the links are confirmed on the full shingle sets, all against all. Both steps
+compare in matrices, block by block, and give back only what connects; pairs are
+never rows, and a group of any size is spread over many tasks. Documents with
+equal sets are one.
 """
 
 from __future__ import annotations
@@ -23,17 +24,19 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from satzwerk.llm.components import roots
+from satzwerk.llm.components import roots, spread
 from satzwerk.llm.shared import per_text, saved
 
 CHUNKS, CHUNK, BITS = 8, 4, 16
 POSITIONS = CHUNKS * CHUNK
 #: Signatures that differ in so many positions at most are sure to meet.
 DISTANCE = 2 * CHUNKS - 1
+#: Members of a bucket, and of a cluster, that meet in one task; shingles in one product.
+BUCKET_BLOCK, CLUSTER_BLOCK, COLUMNS = 2048, 512, 4096
 #: Words whose hash a worker remembers.
 MEMO = 1 << 19
 
@@ -104,7 +107,7 @@ def index_keys(values: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Per row doc_id, n_shingles, a digest of the set, and its index keys; no set has neither."""
+    """Per row doc_id, n_shingles, a digest of the set, and its signature; no set has neither."""
 
     def start() -> Callable[[str | None], tuple]:
         known = _WordHash()
@@ -114,78 +117,139 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             if not len(shingles):
                 return 0, None, None
             digest = xxhash.xxh3_128_digest(shingles.tobytes())
-            return len(shingles), digest, index_keys(signature(shingles))
+            return len(shingles), digest, signature(shingles).astype("<u2").tobytes()
 
         return sign
 
-    return per_text(docs, start, "n_shingles bigint, digest binary, keys array<bigint>")
+    return per_text(docs, start, "n_shingles bigint, digest binary, signature binary")
+
+
+def index_entries(signed: DataFrame) -> DataFrame:
+    """Each document under all keys of its signature: key, doc_id."""
+    schema = "key bigint, doc_id bigint"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [index_keys(np.frombuffer(x, dtype="<u2").astype(np.uint64)) for x in batch.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))
+            flat = pa.array([key for some in keys for key in some], pa.int64())
+            yield pa.RecordBatch.from_arrays([flat, batch.column(0).take(at)], schema=arrow)
+
+    return signed.select("doc_id", "signature").mapInArrow(run, schema)
+
+
+# --- comparing within groups ------------------------------------------------
+
+
+def blocks_of(members: DataFrame, group: str, size: int) -> DataFrame:
+    """Each member once for every pair of blocks of its group that it belongs to.
 
+    A group of n members has about n / ``size`` blocks; adds block, block_a and
+    block_b. Groups of more than one block are few, at most members / ``size``.
+    """
+    large = members.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
+    large = large.select(group, F.ceil(F.col("_n") / size).cast("int").alias("_blocks"))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    return (
+        members.join(large, group, "left")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("block_a", F.least("block", "_other"))
+        .withColumn("block_b", F.greatest("block", "_other"))
+        .drop("_other", "_blocks")
+    )
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity."""
+
+def connections(members: DataFrame, group: str, data: str, linked: Callable[[list], np.ndarray]) -> DataFrame:
+    """What connects the members of each group: (u, v) with v the smallest that u reaches.
+
+    ``linked`` makes the symmetric matrix of links of the values of ``data``. Only
+    one row for each member that has a link leaves a task.
+    """
+    keys = (group, "block_a", "block_b")
     arrow = to_arrow_schema(StructType.fromDDL("u bigint, v bigint"))
 
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows < 2:
+            return
+        table = table.sort_by("doc_id")
+        ids = table["doc_id"].to_numpy()
+        links = linked(table[data].to_pylist())
+        if table["block_a"][0].as_py() != table["block_b"][0].as_py():
+            block = table["block"].to_numpy()
+            links &= block[:, None] != block[None, :]
+        least = spread(links)
+        some = np.flatnonzero(least != np.arange(len(ids)))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[least[some]])], schema=arrow)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, set()
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            keep = []
-            for one, other in zip(batch.column("_u").to_pylist(), batch.column("_v").to_pylist(), strict=True):
-                if one != last:
-                    last, left = one, shingle_set(one, width)
-                right = shingle_set(other, width)
-                both = len(left & right)
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            ids = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], schema=arrow)
-            yield ids.filter(pa.array(keep, pa.bool_()))
+            table = pa.Table.from_batches([*held, batch])
+            columns = [table[k].to_numpy() for k in keys]
+            edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()]
+            for start, end in zip(edges, edges[1:]):
+                yield from compare(table.slice(start, end - start))
+            held = table.slice(edges[-1]).combine_chunks().to_batches()
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    placed = members.repartition(*keys).sortWithinPartitions(*keys)
+    return placed.select(*keys, "block", "doc_id", data).mapInArrow(run, "u bigint, v bigint")
 
-    def of(name: str) -> DataFrame:
-        return texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"_{name}"))
 
-    return pairs.join(of("v"), "v").join(of("u"), "u").mapInArrow(run, "u bigint, v bigint")
+def within_distance(signed: list[bytes]) -> np.ndarray:
+    """Which signatures differ in ``DISTANCE`` positions at most."""
+    values = np.frombuffer(b"".join(signed), dtype="<u2").reshape(len(signed), POSITIONS)
+    apart = np.zeros((len(signed), len(signed)), dtype=np.uint8)
+    for position in range(POSITIONS):
+        apart += values[:, None, position] != values[None, :, position]
+    return apart <= DISTANCE
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+def similar(texts: list[str], width: int, percent: int, known: _WordHash) -> np.ndarray:
+    """Which full sets reach the similarity, by counts of common shingles.
+
+    Shingles of one text alone add to no intersection and are left out of the product.
+    """
+    sets = [hashed_shingles(words_of(text), width, known) for text in texts]
+    sizes = np.array(list(map(len, sets)))
+    names, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    several = times[place] > 1
+    owner, column = owner[several], (np.cumsum(times > 1) - 1)[place[several]]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int((times > 1).sum()), COLUMNS):
+        here = (column >= first) & (column < first + COLUMNS)
+        holds = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        holds[owner[here], column[here] - first] = 1
+        common += holds @ holds.T
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
 def links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Enough confirmed links (u, v) to connect all that links connect.
+    """Confirmed connections (u, v) among documents with one set each.
 
-    ``reps`` has the doc_id and keys of one document for each set. Left out are
-    only links within what other links connect already.
+    ``reps`` has the doc_id and signature of one document for each set.
     """
-    entries = reps.select("doc_id", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    entries = saved(entries.join(shared.drop("n"), "key"), "minhash-entries")
-    ids = entries.select("doc_id").distinct()
+    entries = index_entries(reps)
+    shared = entries.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    meeting = saved(entries.join(shared, "key"), "minhash-entries")
+    placed = blocks_of(meeting, "key", BUCKET_BLOCK).join(reps, "doc_id")
+    close = connections(placed, "key", "signature", within_distance)
+    clusters = roots(close)
+    members = clusters.unionByName(clusters.select(F.col("root").alias("u"), "root").distinct())
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = saved(
-        docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"),
-        "minhash-texts",
-    )
-    first = entries.where("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
-    first = saved(first, "minhash-pairs")
-    found = saved(confirmed(first, texts, width, percent), "minhash-links")
-
-    # What shares a bucket without a common component: all against all but the largest part.
-    joined = roots(found).withColumnRenamed("u", "doc_id")
-    placed = entries.select("key", "doc_id").join(joined, "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id"))
-    parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    split = (
-        parts.groupBy("key")
-        .agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest"))
-        .where("parts > 1")
-        .select("key", "largest")
+        texts.join(members.withColumnRenamed("u", "doc_id").withColumnRenamed("root", "cluster"), "doc_id"), "minhash-texts"
     )
-    open_ = saved(placed.join(split, "key").select("key", "doc_id", "part", "largest"), "minhash-open")
-    small = open_.where("part <> largest").select("key", F.col("doc_id").alias("a"), F.col("part").alias("part_a"))
-    rest = (
-        small.join(open_.withColumnRenamed("doc_id", "b"), "key")
-        .where("part <> part_a AND (part = largest OR a < b)")
-        .select(*_pair("a", "b"))
-        .distinct()
-        .join(first, ["u", "v"], "left_anti")
+    known = _WordHash()
+    return connections(
+        blocks_of(texts, "cluster", CLUSTER_BLOCK), "cluster", "text", lambda some: similar(some, width, percent, known)
     )
-    return found.unionByName(confirmed(rest, texts, width, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -200,8 +264,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = saved(signatures(docs, width), "minhash-signatures")
     usable = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     groups = usable.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("rep"))
-    # The keys of a set are the same in every row of it; its first document brings them.
-    reps = usable.join(groups, "digest").where("doc_id = rep").select(F.col("rep").alias("doc_id"), "keys").distinct()
+    # The signature of a set is the same in every row of it; its first document brings it.
+    reps = usable.join(groups, "digest").where("doc_id = rep").select(F.col("rep").alias("doc_id"), "signature").distinct()
     found = links(reps, docs, width, percent)
     same = usable.select("doc_id", "digest").join(groups, "digest").where("doc_id <> rep")
     every = found.unionByName(same.select(F.col("rep").alias("u"), F.col("doc_id").cast("bigint").alias("v")))

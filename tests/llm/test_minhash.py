@@ -39,14 +39,17 @@ def test_against_all_pairs(docs, rows, empty, width, percent):
     assert mh.near_duplicates(empty, width, percent).collect() == []
 
 
-def test_chains_around_the_threshold(spark):
+@pytest.mark.parametrize("block", [512, 7])
+def test_groups_around_the_threshold(spark, monkeypatch, block):
     """Groups whose members are near some of the others only."""
+    monkeypatch.setattr(mh, "CLUSTER_BLOCK", block)
+    monkeypatch.setattr(mh, "BUCKET_BLOCK", block)
     chosen, rows = random.Random(8), []
     for group in range(4):
-        words = prose(group, 120).split(" ")
-        for _ in range(25):
-            words = list(words)
-            for k in chosen.sample(range(len(words)), 3):
+        base = prose(group, 120).split(" ")
+        for copy in range(25):
+            words = list(base)
+            for k in chosen.sample(range(len(words)), copy % 12):
                 words[k] = f"w{chosen.random()}"
             rows.append((len(rows), " ".join(words)))
     chosen.shuffle(rows)
