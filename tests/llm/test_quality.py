@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
+import pytest
+
 from satzwerk.llm import quality
 from tests.llm.conftest import prose
 
@@ -48,3 +51,21 @@ def test_kept_documents_keep_all_columns(docs):
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality.judge(docs).where("kept").collect())
     assert {r.n_chars for r in kept.collect()} <= {None, 5}
+
+
+def labelled():
+    """Data, language and label of the labelled documents that pass the base rules."""
+    folder, bands = "/root/testdata/sf0.1", quality.Bands()
+    labels = dict(zip(*(c.to_pylist() for c in pq.read_table(f"{folder}/labels.parquet", columns=["doc_id", "quality"]).columns)))
+    rows = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    rows = [r for r in rows if r["doc_id"] in labels and not quality.measure(r["text"], bands)[5]]
+    return [(r["text"].encode(), r["lang"], labels[r["doc_id"]]) for r in rows]
+
+
+@pytest.mark.parametrize("size", [1 << 16, 1 << 19, 1 << 20, 1 << 21, 1 << 22])
+def test_long_clean_prose_is_kept_in_each_language(size):
+    bands, rows = quality.Bands(), labelled()
+    for lang in ("de", "en", "es", "fr"):
+        words = [w for data, of, label in rows if of == lang and label == 1 for w in data.split()]
+        text = b" ".join(random.Random(size).choices(words, k=size // 4))[:size]
+        assert bands.look(text)[3], lang
