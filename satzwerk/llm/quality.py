@@ -21,15 +21,14 @@ from pyspark.sql import DataFrame
 from satzwerk.llm.shared import per_text
 
 LEVEL = 3
-CHUNK = 2048
 #: Limits of the ratio at lengths in bytes; between them, by the logarithm of the length.
-#: Fitted so that prose labelled good lies four deviations inside; from 64 KB on by prose
-#: resampled from it, as zstandard gains up to its window of 2 MB.
-LENGTHS = (128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 131072, 1 << 20, 1 << 22)
-LOWEST = (0.55, 0.53, 0.50, 0.466, 0.455, 0.4375, 0.4155, 0.395, 0.38, 0.37, 0.352, 0.345)
-HIGHEST = (1.05, 0.90, 0.80, 0.70, 0.65, 0.62, 0.60, 0.60, 0.60, 0.60, 0.60, 0.60)
-#: Limits for every full chunk.
-CHUNK_BAND = (0.44, 0.62)
+#: Fitted close outside what is labelled good; from 64 KB on by prose resampled from it,
+#: as zstandard gains up to its window of 2 MB.
+LENGTHS = (128, 192, 256, 384, 512, 768, 1024, 1536, 2048, 4096, 8192, 16384, 32768, 131072, 1 << 20, 1 << 22)
+LOWEST = (0.72, 0.645, 0.605, 0.543, 0.516, 0.507, 0.494, 0.47, 0.455, 0.4375, 0.4155, 0.395, 0.38, 0.37, 0.352, 0.345)
+HIGHEST = (0.95, 0.89, 0.84, 0.77, 0.74, 0.68, 0.64, 0.60, 0.58, 0.56, *(0.54,) * 6)
+#: Sizes of chunks with the limits for each; the largest that a text fills is taken.
+CHUNK_BANDS = {512: (0.505, 0.74), 1024: (0.487, 0.63), 2048: (0.456, 0.57)}
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -73,7 +72,7 @@ class Bands:
         return len(self.compressor.compress(data)) / len(data)
 
     def look(self, data: bytes) -> tuple[float, float, float, bool]:
-        """Ratio of the whole, lowest and highest of full chunks, and whether all are inside.
+        """Ratio of the whole, lowest and highest of the chunks, and whether all are inside.
 
         A text without a full chunk has the ratio of the whole there; an empty one
         has 1 everywhere and is outside.
@@ -83,9 +82,12 @@ class Bands:
         whole = self.ratio(data)
         size = np.log2(len(data))
         inside = np.interp(size, self.at, LOWEST) <= whole <= np.interp(size, self.at, HIGHEST)
-        chunks = [self.ratio(data[i : i + CHUNK]) for i in range(0, len(data) - CHUNK + 1, CHUNK)]
-        if chunks:
-            inside = inside and CHUNK_BAND[0] <= min(chunks) and max(chunks) <= CHUNK_BAND[1]
+        chunk = max((c for c in CHUNK_BANDS if c <= len(data)), default=0)
+        chunks = []
+        if chunk:
+            starts = [*range(0, len(data) - chunk, chunk), len(data) - chunk]
+            chunks = [self.ratio(data[i : i + chunk]) for i in starts]
+            inside = inside and CHUNK_BANDS[chunk][0] <= min(chunks) and max(chunks) <= CHUNK_BANDS[chunk][1]
         return whole, min(chunks, default=whole), max(chunks, default=whole), bool(inside)
 
 

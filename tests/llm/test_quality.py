@@ -69,3 +69,13 @@ def test_long_clean_prose_is_kept_in_each_language(size):
         words = [w for data, of, label in rows if of == lang and label == 1 for w in data.split()]
         text = b" ".join(random.Random(size).choices(words, k=size // 4))[:size]
         assert bands.look(text)[3], lang
+
+
+def test_short_bad_texts_and_bad_tails_are_rejected():
+    bands, rows = quality.Bands(), labelled()
+    kept = Counter((label, bands.look(data)[3]) for data, _, label in rows)
+    assert kept[1, False] == 0 and kept[0, True] < 100
+    good = next(data for data, _, label in rows if label == 1 and 4200 < len(data) < 6000)
+    for size in (1100, 4096):  # the bad stretch is less than a chunk, at the end
+        assert bands.look(good[:size])[3]
+        assert not bands.look(good[:size] + b" 7Qx9 0Zk4" * 40)[3]
