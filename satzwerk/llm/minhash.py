@@ -8,7 +8,9 @@ differ in fewer than twice as many positions as there are chunks, some chunk
 holds one error at most (pigeonhole), so both chunks are equal once the right one
 of four positions is left out. Each document is therefore indexed under every
 chunk with every position left out, and all pairs within ``DISTANCE`` meet. Of
-pairs at similarity 0.85 about one in a million lies beyond that distance.
+pairs at similarity 0.85 about 3.5 in a million lie beyond that distance and are
+missed, at 0.8 about 144 in a million (binomial; a pair in a group of near copies
+is still put together by its other links).
 
 What meets within the distance is put together to clusters, and within a cluster
 the links are confirmed on the full shingle sets, all against all. Both steps
