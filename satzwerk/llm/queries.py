@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, quality, scoring, sharding, suffixes, tokenfiles
+from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, phrases, quality, scoring, sharding, suffixes, tokenfiles
 from satzwerk.llm.shared import new_path, saved, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,11 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.score_documents(table(spark, folder, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 phrases of each lang, of all documents."""
+    return phrases.collocations(table(spark, folder, "documents"), least=10, first=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_neardup": op2_embedding_neardup,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 OP8_SQL = r"""
@@ -141,4 +147,41 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs *
 FROM placed
 """
 
-SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op9_mixing": OP9_SQL}
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT COALESCE(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+        translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM documents
+), grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 4) AS lengths(k))
+    GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10
+), cuts AS (
+    SELECT c.lang, c.phrase, c.w, c.k, cut, c.f AS a, head.f AS l, tail.f AS r,
+        CAST(1000000::HUGEINT * c.f * c.f // (head.f::HUGEINT * tail.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+    JOIN grams head ON head.lang = c.lang AND head.phrase = array_to_string(c.w[1:cut], ' ') AND head.k = cut
+    JOIN grams tail ON tail.lang = c.lang AND tail.phrase = array_to_string(c.w[cut + 1:], ' ') AND tail.k = c.k - cut
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_phrases AS (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f FROM candidates WHERE k = 3
+), longest AS (
+    SELECT lang, phrase, max(f) AS longer FROM inner_phrases GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest LEFT JOIN longest USING (lang, phrase) JOIN totals USING (lang)
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+SQL: dict[str, str] = {
+    "op8_chat_formatting": OP8_SQL,
+    "op9_mixing": OP9_SQL,
+    "op12_phrase_collocations": OP12_SQL,
+}
