@@ -34,13 +34,15 @@ from pyspark.sql.types import StructType
 
 from satzwerk.llm.shared import forget, saved
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 #: Langs of which a task holds an open block.
 LANGS = 16
 #: A long text is split into words in stretches of about this size.
 STRETCH = 1 << 20
 BUCKET_BITS = 24
 SLICE = 1 << 16
+#: Distinct candidates that a task holds before it sends them.
+HELD = 1 << 21
 #: Candidates in one trie: some 100 MB with all its nodes.
 PORTION = 1 << 20
 
@@ -156,6 +158,11 @@ def number_words(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
 # --- double-array tries -----------------------------------------------------
 
 
+def _rows(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
 class Trie:
     """A double array over the bytes of numbers: ``check[base[state] + byte] == state``."""
 
@@ -184,31 +191,47 @@ class Trie:
             self.check = np.concatenate([self.check, np.full(more, -1, dtype=np.int32)])
 
     def _place(self, parents: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Free slots for the children (parents ascending) of one level."""
+        """Free slots for the children (parents ascending) of one level.
+
+        Large nodes go into empty space; smaller ones try free places at random, all
+        at once, until each has found one; single children fill what is left.
+        """
         starts = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]]) if len(parents) else np.zeros(0, dtype=np.int64)
         counts = np.diff(np.r_[starts, len(parents)])
+        offset = symbols - np.repeat(symbols[starts], counts)
         slots = np.zeros(len(parents), dtype=np.int64)
-        for group in np.flatnonzero(counts > 1)[np.argsort(-counts[counts > 1], kind="stable")]:
-            start, n = starts[group], counts[group]
-            offset = symbols[start : start + n] - symbols[start]
-            free = self._low + np.flatnonzero(self.check[self._low : self._low + 2048] == -1)[:256]
-            fits = np.flatnonzero((self.check[free[:, None] + offset] == -1).all(axis=1))
-            at = free[fits[0]] if len(fits) else self._top
-            if not len(fits):  # dense so far: go on in empty space
-                self._low = max(self._low, self._top - 1024)
-            self._top = max(self._top, at + 256)
-            self._fit(self._top + 4096)
-            slots[start : start + n] = at + offset
-            self.check[at + offset] = parents[start]
-            self.base[parents[start]] = at - symbols[start]
+
+        def settle(nodes: np.ndarray, at: np.ndarray) -> None:
+            rows = _rows(starts[nodes], counts[nodes])
+            slots[rows] = np.repeat(at, counts[nodes]) + offset[rows]
+            self.check[slots[rows]] = parents[rows]
+            self.base[parents[starts[nodes]]] = at - symbols[starts[nodes]]
+            self._top = max(self._top, int(slots[rows].max(initial=0)) + 1)
+
+        large = np.flatnonzero(counts > 32)
+        self._fit(self._top + 256 * len(large) + 8192)
+        settle(large, self._top + 256 * np.arange(len(large)))
+        left, chosen = np.flatnonzero((counts > 1) & (counts <= 32)), np.random.default_rng(0)
+        while len(left):
+            rows = _rows(starts[left], counts[left])
+            end = max(self._top, self._low + 4 * len(rows)) + 1024
+            self._fit(end + 8192)
+            free = self._low + np.flatnonzero(self.check[self._low : end] == -1)
+            at = chosen.choice(free, len(left), replace=len(free) < len(left))
+            wanted = np.repeat(at, counts[left]) + offset[rows]
+            first = np.zeros(len(rows), dtype=bool)
+            first[np.unique(wanted, return_index=True)[1]] = True
+            heads = np.cumsum(counts[left]) - counts[left]
+            won = np.logical_and.reduceat(first & (self.check[wanted] == -1), heads)
+            settle(left[won], at[won])
+            if won.mean() < 0.1:
+                self._low = end  # dense: go on in empty space
+            left = left[~won]
         single = starts[counts == 1]
-        self._fit(int(np.count_nonzero(self.check != -1)) + len(single) + 1024)
+        self._fit(self._top + len(single) + 8192)
         free = np.flatnonzero(self.check[256:] == -1)[: len(single)] + 256
-        self._top = max(self._top, int(free.max(initial=0)) + 1)
+        settle(np.flatnonzero(counts == 1), free)
         self._fit(self._top + 4096)
-        slots[single] = free
-        self.check[free] = parents[single]
-        self.base[parents[single]] = free - symbols[single]
         return slots
 
     def walk(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,11 +262,11 @@ class Trie:
 # --- one level --------------------------------------------------------------
 
 
-def _pairs(ids: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What stands side by side, both frequent; before the first trie the words themselves."""
+def _pairs(ids: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where two frequent phrases start side by side, and their numbers; before the first trie the words themselves."""
     s = states if len(states) else ids
     both = np.flatnonzero((s[:-1] > 0) & (s[1:] > 0)) if len(s) > 1 else np.zeros(0, dtype=np.int64)
-    return s[both].astype(np.int64), s[both + 1].astype(np.int64)
+    return both, s[both].astype(np.int64), s[both + 1].astype(np.int64)
 
 
 def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -265,7 +288,7 @@ def full_buckets(blocks: DataFrame, least: int) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
         for *_, ids, states in _blocks(batches):
-            buckets, counts = np.unique(_bucket(*_pairs(ids, states)), return_counts=True)
+            buckets, counts = np.unique(_bucket(*_pairs(ids, states)[1:]), return_counts=True)
             full[buckets] = np.minimum(full[buckets] + counts, least)
         for start in range(0, len(full), SLICE):
             part = full[start : start + SLICE]
@@ -291,19 +314,31 @@ def full_buckets(blocks: DataFrame, least: int) -> np.ndarray:
     return full
 
 
-def candidates(blocks: DataFrame, least: int) -> DataFrame:
-    """The distinct pairs (a, b) of frequent neighbours whose bucket is full."""
+def candidates(blocks: DataFrame, words: list[str], least: int) -> DataFrame:
+    """The distinct phrases of which both parts are frequent and whose bucket is full, as numbers of words."""
     sieve = blocks.sparkSession.sparkContext.broadcast(np.packbits(full_buckets(blocks, least)))
+    kind = to_arrow_schema(StructType.fromDDL(", ".join(f"{w} int" for w in words)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.unpackbits(sieve.value).astype(bool)
+        full, held = np.unpackbits(sieve.value).astype(bool), []
+
+        def distinct() -> list[np.ndarray]:
+            keys, first = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
+            return [keys, *(np.concatenate([h[k] for h in held])[first] for k in range(1, len(words) + 1))]
+
         for *_, ids, states in _blocks(batches):
-            left, right = _pairs(ids, states)
-            on = full[_bucket(left, right)]
-            found = np.unique(left[on] << 32 | right[on])
-            yield pa.RecordBatch.from_arrays([pa.array(found >> 32, pa.int64()), pa.array(found & 0xFFFFFFFF, pa.int64())], names=["a", "b"])
+            at, left, right = _pairs(ids, states)
+            at, keys = at[on := full[_bucket(left, right)]], left[on] << 32 | right[on]
+            keys, first = np.unique(keys, return_index=True)
+            held = [*held, [keys, *(ids[at[first] + k] for k in range(len(words)))]]
+            held = [distinct()]
+            if len(held[0][0]) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in held[0][1:]], schema=kind)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in held[0][1:]], schema=kind)
 
-    return blocks.mapInArrow(run, "a bigint, b bigint").distinct()
+    return blocks.mapInArrow(run, ", ".join(f"{w} int" for w in words)).distinct()
 
 
 def portions(phrases: DataFrame, words: list[str], size: int) -> Iterator[tuple[int, Trie]]:
@@ -361,30 +396,26 @@ def with_states(blocks: DataFrame, phrases: DataFrame, words: list[str], size: i
 def counted_phrases(docs: DataFrame, least: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Words in all (lang, n), and what is said ``least`` times: words, pairs, triples with f.
 
-    Words have lang, word, id; pairs w1, w2, id; triples p, q, the ids of their two pairs.
+    Words have lang, word, id; pairs w1, w2; triples w1, w2, w3.
     """
     blocks = saved(pack_blocks(docs), "phrase-blocks")
     said = blocks.where("codes IS NULL")
-    totals = said.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = saved(said.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     words = said.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = saved(numbered(words, "phrase-words"), "phrase-words")
+    words = numbered(words, "phrase-words")
     ids = saved(number_words(blocks, words.select("lang", "word", "id")), "phrase-ids")
+    forget(blocks)
 
-    def frequent(states: DataFrame, spread: list[str], find) -> DataFrame:
-        asked = find(saved(numbered(candidates(states, least), "phrase-candidates"), "phrase-candidates"))
+    def frequent(states: DataFrame, spread: list[str]) -> DataFrame:
+        asked = numbered(candidates(states, spread, least), "phrase-candidates")
         found = asked.join(count_phrases(ids, asked, spread, size), "id").where(F.col("f") >= least).drop("id")
-        return saved(numbered(found, "phrases"), "phrases")
+        return numbered(found, "phrases")
 
-    pairs = frequent(ids, ["w1", "w2"], lambda c: c.select(F.col("a").alias("w1"), F.col("b").alias("w2"), "id"))
+    pairs = frequent(ids, ["w1", "w2"])
     states = with_states(ids, pairs, ["w1", "w2"], size)
-    first = pairs.select(F.col("id").alias("p"), "w1", "w2")
-    second = pairs.select(F.col("id").alias("q"), F.col("w2").alias("w3"))
-
-    def triples_of(c: DataFrame) -> DataFrame:
-        c = c.select(F.col("a").alias("p"), F.col("b").alias("q"), "id")
-        return saved(c.join(first, "p").join(second, "q"), "phrase-triples")
-
-    return totals, words, pairs, frequent(states, ["w1", "w2", "w3"], triples_of)
+    triples = frequent(states, ["w1", "w2", "w3"])
+    forget(states)
+    return totals, words, pairs, triples
 
 
 def collocations(docs: DataFrame, least: int = 10, first: int = 2000, size: int = PORTION) -> DataFrame:
@@ -404,7 +435,9 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, size: int
     totals, words, pairs, triples = counted_phrases(docs, least, size)
     word = {k: words.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"t{k}"), F.col("f").alias(f"f{k}")) for k in (1, 2, 3)}
     langs = words.select(F.col("id").alias("w1"), "lang")
-    pair = {k: pairs.select(F.col("id").alias(k), F.col("f").alias(f"f_{k}")) for k in ("p", "q")}
+    first_two = pairs.select("w1", "w2", F.col("id").alias("p"), F.col("f").alias("f_p"))
+    last_two = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("id").alias("q"), F.col("f").alias("f_q"))
+    triples = saved(triples.drop("id").join(first_two, ["w1", "w2"]).join(last_two, ["w2", "w3"]), "phrase-triples")
 
     def score(a: str, l: str, r: str) -> str:  # noqa: E741
         wide = "CAST({} AS DECIMAL(16, 0))"
@@ -419,7 +452,7 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, size: int
         .withColumn("score", F.expr(score("a", "l", "r")))
     )
     three = (
-        triples.join(pair["p"], "p").join(pair["q"], "q").join(word[1], "w1").join(word[2].drop("f2"), "w2").join(word[3], "w3").join(langs, "w1")
+        triples.join(word[1], "w1").join(word[2].drop("f2"), "w2").join(word[3], "w3").join(langs, "w1")
         .withColumn("s1", F.expr(score("f", "f1", "f_q"))).withColumn("s2", F.expr(score("f", "f_p", "f3")))
         .select(
             "lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), F.col("f").alias("a"),

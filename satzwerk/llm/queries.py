@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, phrases, quality, scoring, sharding, suffixes, tokenfiles
+from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, phrases, prefixes, quality, scoring, sharding, suffixes, tokenfiles
 from satzwerk.llm.shared import new_path, saved, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +78,11 @@ def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"), least=10, first=2000)
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of all beginnings of all conversations."""
+    return prefixes.prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_embedding_neardup": op2_embedding_neardup,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 OP8_SQL = r"""
@@ -180,8 +186,47 @@ WHERE longer IS NULL OR 100 * longer < 50 * a
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
 
+OP13_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (  -- crc32 bit by bit: -1 stands for a shift
+    SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS n, xor(list_reduce(
+        [4294967295::BIGINT] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+            lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda a, x: CASE WHEN x < 0 THEN xor(a >> 1, (a & 1) * 3988292384) ELSE xor(a, x) END), 4294967295) % 9 AS h
+    FROM turns GROUP BY conv_id
+), plans AS (
+    SELECT c.conv_id, c.base, c.h, least(c.h, COALESCE(b.n, 0)) AS g FROM convs c LEFT JOIN convs b ON b.conv_id = c.base
+), rebuilt AS (
+    SELECT p.conv_id, t.place AS depth, t.role, t.text FROM plans p JOIN turns t ON t.conv_id = p.base AND t.place <= p.h
+    UNION ALL
+    SELECT p.conv_id, p.g + t.place - p.h, t.role, t.text FROM plans p JOIN turns t ON t.conv_id = p.conv_id AND t.place > p.h
+    UNION ALL
+    SELECT conv_id, 0, '', '' FROM plans
+), rows_ AS (
+    SELECT conv_id, depth, strlen(text) AS bytes, max(depth) OVER (PARTITION BY conv_id) AS last,
+        string_agg(CASE depth WHEN 0 THEN '' ELSE sha256(strlen(role) || ':' || role || text) END, '')
+            OVER (PARTITION BY conv_id ORDER BY depth) AS path
+    FROM rebuilt
+), nodes AS (
+    SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, max(last) = depth AS leaf,
+        sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last = depth), '')) AS ends_sha256
+    FROM rows_ GROUP BY depth, path
+), subtrees AS (
+    SELECT a.depth, a.path, count(*) FILTER (x.leaf) AS n_leaves, CAST(sum((x.n_convs - 1) * x.bytes) AS BIGINT) AS saved_tokens,
+        count(*) FILTER (x.depth = a.depth + 1) AS n_children
+    FROM nodes x JOIN rows_ a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY a.depth, a.path
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees USING (depth, path)
+LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.path = left(n.path, (n.depth::INT - 1) * 64)
+"""
+
 SQL: dict[str, str] = {
     "op8_chat_formatting": OP8_SQL,
     "op9_mixing": OP9_SQL,
     "op12_phrase_collocations": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
