@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, phrases, prefixes, quality, scoring, sharding, suffixes, tokenfiles
+from satzwerk.llm import bpe, chat, embeddings, minhash, mixing, phrases, prefixes, quality, scoring, sharding, suffixes, tokenfiles, toxicity
 from satzwerk.llm.shared import new_path, saved, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,11 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.score_documents(table(spark, folder, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents, learned from the labelled ones that are not held out."""
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The first 2,000 phrases of each lang, of all documents."""
     return phrases.collocations(table(spark, folder, "documents"), least=10, first=2000)
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_toxicity": op11_toxicity,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
