@@ -10,72 +10,96 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from satzwerk.functions import fixed, text as tx
 from satzwerk.operators.lexicon import Rewrites
-from satzwerk.operators.reference import lookup_tokens
+from satzwerk.operators.reference import ReferenceTable, lookup_tokens
 from satzwerk.operators.settled import settled
 from satzwerk.operators.workers import once_per_worker, worker_key
 
 
-def _merged(tokens: Column, singles: Column, pairs: Column) -> Column:
-    """Pairs first, from left to right without overlap, then single tokens.
+def _first_token(table: ReferenceTable) -> list[str] | None:
+    """The first tokens of all rules of a small table; None if it is not at hand."""
+    return sorted({key.split(" ")[0] for key in table.rows}) if table.how == "inline" else None
 
-    A pair can only clash with the next one. Written as a string of flags, the
-    greedy choice is one regular expression: each 1 takes its successor.
+
+def _windows(tokens: Column, n: int, first: list[str] | None) -> Column:
+    """At each place the ``n`` tokens from there on as one key, NULL where the text ends before.
+
+    With ``first``, the tokens that a rule can begin with, most places need no key.
     """
-    flags = F.array_join(
-        F.transform(pairs, lambda pair: F.when(pair.isNull(), "0").otherwise("1")), ""
-    )
-    states = F.split(F.regexp_replace(flags, "1.", "12"), "")
-    entries = F.arrays_zip(tokens.alias("token"), singles.alias("single"), pairs.alias("pair"))
+    moved = [F.slice(tokens, F.lit(k + 1), F.greatest(F.array_size(tokens) - k, F.lit(0))) for k in range(n)]
 
-    def chosen(entry: Column, state: Column) -> Column:
-        return (
-            F.when(state == "1", entry["pair"])
-            .when(state == "2", F.array().cast("array<string>"))
-            .otherwise(F.coalesce(entry["single"], F.array(entry["token"])))
-        )
+    def key(entry: Column) -> Column:
+        parts = [entry[f"t{k}"] for k in range(n)]
+        joined = F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts))
+        return joined if first is None else F.when(parts[0].isin(*first), joined)
 
-    return F.flatten(F.zip_with(entries, states, chosen))
+    return F.transform(F.arrays_zip(*(part.alias(f"t{k}") for k, part in enumerate(moved))), key)
 
 
-def _replaced(tokens: Column, singles: Column) -> Column:
-    return F.flatten(
-        F.zip_with(
-            tokens, singles, lambda token, single: F.coalesce(single, F.array(token))
-        )
+def _chosen_rules(found: list[Column], lengths: list[int]) -> Column:
+    """A sign for each token: the rule that starts there, ``-`` inside one, ``0`` without.
+
+    Written as a string of signs of the longest rule at each place, the choice from
+    left to right without overlap is one regular expression: each sign takes as many
+    places as its rule has tokens.
+    """
+    signs = [chr(65 + place) for place in range(len(lengths))]
+    longest_first = list(zip(signs, lengths, found, strict=True))[::-1]
+    hits = F.arrays_zip(*(hit.alias(sign) for sign, _, hit in longest_first))
+
+    def sign_of(hit: Column) -> Column:
+        chosen = F.when(F.lit(False), "0")
+        for sign, _, _ in longest_first:
+            chosen = chosen.when(hit[sign].isNotNull(), sign)
+        return chosen.otherwise("0")
+
+    flags = F.array_join(F.transform(hits, sign_of), "")
+    steps = "|".join(f"{sign}.{{{n - 1}}}" for sign, n, _ in longest_first)
+    taken = F.regexp_extract_all(flags, F.lit(f"({steps}|.)"), F.lit(1))
+    shown = F.transform(
+        taken, lambda step: F.rpad(F.substring(step, 1, 1), F.length(step), "-")
     )
+    return F.split(F.array_join(shown, ""), "")
 
 
-def _is_set(value: Column) -> Column:
-    return value.isNotNull()
+def rewrite_tokens(frame: DataFrame, rewrites: Rewrites, tokens: str, out: str) -> DataFrame:
+    """Replace tokens of an ARRAY<STRING> column by rules of any number of tokens.
 
+    From left to right the longest rule that starts at a token counts, and the next
+    one starts behind it. NULL stays NULL.
+    """
+    lengths = sorted(rewrites.tables)
+    if not lengths:
+        return frame.withColumn(out, F.col(tokens))
+    if len(lengths) > 57:
+        raise ValueError("rules may have at most 57 different numbers of tokens")
+    frame = settled(frame, **{tokens: F.col(tokens)})
+    columns = [f"_rule{n}" for n in lengths]
+    for n, column in zip(lengths, columns, strict=True):
+        table = rewrites.tables[n]
+        if n == 1:
+            frame = lookup_tokens(frame, tokens, table, column)
+            continue
+        first = _first_token(table)
+        frame = lookup_tokens(settled(frame, _keys=_windows(F.col(tokens), n, first)), "_keys", table, column)
+    found = [F.col(column) for column in columns]
+    entries = F.arrays_zip(F.col(tokens).alias("token"), *found, _chosen_rules(found, lengths).alias("sign"))
+
+    def replaced(entry: Column) -> Column:
+        chosen = F.when(entry["sign"] == "0", F.array(entry["token"]))
+        for place, column in enumerate(columns):
+            chosen = chosen.when(entry["sign"] == chr(65 + place), entry[column])
+        return chosen.otherwise(F.array().cast("array<string>"))
+
+    any_rule = F.exists(columns[0], _is_set)
+    for column in columns[1:]:
+        any_rule |= F.exists(column, _is_set)
+    # The signs are only made for texts with a rule in them.
+    result = F.when(any_rule, F.flatten(F.transform(entries, replaced))).otherwise(F.col(tokens))
+    return frame.withColumn(out, result).drop("_keys", *columns)
 
-def rewrite_tokens(
-    frame: DataFrame, rewrites: Rewrites, tokens: str, out: str, id_col: str
-) -> DataFrame:
-    """Apply one- and two-token replacements to an ARRAY<STRING> column."""
-    first = None
-    if rewrites.pair.how == "inline":
-        first = sorted({key.split(" ")[0] for key in rewrites.pair.rows})
-
-    def pair_key(token: Column, after: Column) -> Column:
-        key = F.concat(token, F.lit(" "), after)
-        # With the table at hand, most tokens need no key at all.
-        return key if first is None else F.when(token.isin(*first), key)
-
-    frame = lookup_tokens(frame, tokens, rewrites.single, "_singles", id_col)
-    if first != []:
-        keys = F.zip_with(F.col(tokens), tx.following(F.col(tokens)), pair_key)
-        frame = lookup_tokens(frame.withColumn("_keys", keys), "_keys", rewrites.pair, "_pairs", id_col)
-        result = (
-            F.when(F.exists("_pairs", _is_set), _merged(F.col(tokens), F.col("_singles"), F.col("_pairs")))
-            .when(F.exists("_singles", _is_set), _replaced(F.col(tokens), F.col("_singles")))
-            .otherwise(F.col(tokens))
-        )
-    else:
-        result = F.when(
-            F.exists("_singles", _is_set), _replaced(F.col(tokens), F.col("_singles"))
-        ).otherwise(F.col(tokens))
-    return frame.withColumn(out, result).drop("_keys", "_singles", "_pairs")
+
+def _is_set(value: Column) -> Column:
+    return value.isNotNull()
 
 
 def capitalise_starts(tokens: Column) -> Column:
@@ -103,13 +127,16 @@ def correct_tokens(
     rewrites: Rewrites | None = None,
     tokens: str = "tokens",
     out: str = "corrected_tokens",
-    id_col: str = "text_id",
+    id_col: str | None = None,
     capitalise: bool = True,
     add_period: bool = True,
 ) -> DataFrame:
-    """The table backend: rewrites, then sentence capitals, then a final period."""
+    """The table backend: rewrites, then sentence capitals, then a final period.
+
+    ``id_col`` is not needed: rows may share an id or have none.
+    """
     rewrites = Rewrites.from_rows() if rewrites is None else rewrites
-    frame = rewrite_tokens(frame, rewrites, tokens, out, id_col)
+    frame = rewrite_tokens(frame, rewrites, tokens, out)
     if capitalise:
         frame = frame.withColumn(out, capitalise_starts(F.col(out)))
     if add_period:
@@ -234,11 +261,9 @@ def distinct_requests(frame: DataFrame, tokens: str = "tokens") -> DataFrame:
 
     Copies are combined before the shuffle, however many there are.
     """
-    return (
-        frame.where(F.col(tokens).isNotNull())
-        .groupBy(request_key(F.col(tokens)).alias("key"))
-        .agg(F.any_value(tokens).alias(tokens), F.count("*").alias("n_texts"))
-    )
+    # The list itself is the grouping key: a list carried by an aggregate would need a sort.
+    counted = frame.where(F.col(tokens).isNotNull()).groupBy(tokens).agg(F.count("*").alias("n_texts"))
+    return counted.select(request_key(F.col(tokens)).alias("key"), tokens, "n_texts")
 
 
 def write_answers(

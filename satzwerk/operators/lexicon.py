@@ -7,7 +7,7 @@ the same shape and the lookup changes from an inline literal to a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -281,37 +281,43 @@ class Lexicon:
 
 @dataclass(frozen=True)
 class Rewrites:
-    """Replacement of one token, or of two neighbours, by a token list.
+    """Replacement of one or more neighbouring tokens by a token list.
 
-    The key of a pair is both tokens with a space between; tokens hold none.
+    ``tables`` holds the rules by their number of tokens. The key of a rule is its
+    tokens with spaces between; tokens hold none.
     """
 
-    single: ReferenceTable
-    pair: ReferenceTable
+    tables: Mapping[int, ReferenceTable]
 
     @staticmethod
     def from_rows(rows: Iterable[tuple[list[str], list[str]]] | None = None) -> Rewrites:
         rows = seed_rewrites() if rows is None else list(rows)
-        single = {source[0]: target for source, target in rows if len(source) == 1}
-        pair = {" ".join(source): target for source, target in rows if len(source) == 2}
-        return Rewrites(
-            ReferenceTable.from_rows(single, "array<string>"),
-            ReferenceTable.from_rows(pair, "array<string>"),
-        )
+        by_length: dict[int, dict[str, list[str]]] = {}
+        for source, target in rows:
+            if not source:
+                raise ValueError("a rule needs a token to replace")
+            by_length.setdefault(len(source), {})[" ".join(source)] = target
+        return Rewrites({n: ReferenceTable.from_rows(some, "array<string>") for n, some in sorted(by_length.items())})
 
     @staticmethod
     def from_frame(frame: DataFrame, **limits: int) -> Rewrites:
-        """A table ``n INT, src ARRAY<STRING>, dst ARRAY<STRING>`` of any size."""
+        """A table ``n INT, src ARRAY<STRING>, dst ARRAY<STRING>`` of any size.
+
+        Of several rules for the same tokens the one of the smallest ``dst`` counts.
+        The numbers of tokens that occur come to the driver.
+        """
+        rules = frame.where("size(src) > 0 AND dst IS NOT NULL").withColumn("n", F.array_size("src"))
 
         def table(n: int) -> ReferenceTable:
-            rows = frame.where(F.col("n") == n).select(
+            rows = rules.where(F.col("n") == n).select(
                 F.array_join("src", " ").alias("key"), F.col("dst").alias("value")
             )
             return ReferenceTable.from_frame(
                 rows.groupBy("key").agg(F.min("value").alias("value")), **limits
             )
 
-        return Rewrites(table(1), table(2))
+        lengths = sorted(row.n for row in rules.select("n").distinct().collect())
+        return Rewrites({n: table(n) for n in lengths})
 
 
 def examples_frame(spark: SparkSession) -> DataFrame:

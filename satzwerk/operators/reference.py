@@ -19,6 +19,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from satzwerk.operators.settled import settled
+
 # The literal travels with every task.
 INLINE_BYTES = 1024 * 1024
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -92,21 +94,18 @@ def inline_value(key: Column, rows: Mapping[str, Any], value_type: str) -> Colum
     return F.when(key.isin(*rows), F.try_element_at(table, key))
 
 
-def lookup_tokens(
-    frame: DataFrame, keys: str, table: ReferenceTable, out: str, id_col: str
-) -> DataFrame:
+def lookup_tokens(frame: DataFrame, keys: str, table: ReferenceTable, out: str) -> DataFrame:
     """Add ``out``: an array aligned with the array column ``keys``, NULL where absent.
 
-    ``id_col`` must identify a row; it is used only when the table needs a join.
+    All three ways give the same rows, whatever ids the rows have: where the table
+    needs a join, hits are put together by the content of ``keys`` itself. Rows with
+    equal arrays share their hits, and a row keeps its place among its copies.
     """
-    if table.how == "inline":
-        return frame.withColumn(
-            out,
-            F.transform(keys, lambda key: inline_value(key, table.rows, table.value_type)),
-        )
-    if table.how == "broadcast":
-        return _broadcast_lookup(frame, keys, table, out, id_col)
-    return _shuffled_lookup(frame, keys, table, out, id_col)
+    if table.how != "inline":
+        return _joined_lookup(frame, keys, table, out)
+    return frame.withColumn(
+        out, F.transform(keys, lambda key: inline_value(key, table.rows, table.value_type))
+    )
 
 
 def _aligned(found: str, keys: Column, value_type: str) -> Column:
@@ -122,64 +121,31 @@ def _aligned(found: str, keys: Column, value_type: str) -> Column:
     return F.when(keys.isNotNull(), F.flatten(F.zip_with(hits, ends, stretch)))
 
 
-def _broadcast_lookup(
-    frame: DataFrame, keys: str, table: ReferenceTable, out: str, id_col: str
-) -> DataFrame:
-    """Explode, probe the broadcast table, regroup: one exchange, of whole rows.
+def _joined_lookup(frame: DataFrame, keys: str, table: ReferenceTable, out: str) -> DataFrame:
+    """Explode, join the table, and join the hits of each array back to its rows.
 
-    The row itself travels with one extra place (-1), so it is neither copied
-    per token nor joined back.
+    A broadcast table is probed where the tokens are, and only hits are shuffled. A
+    larger one meets ids, places and tokens by the token, and adaptive execution
+    splits the frequent ones. Whole rows move once, to their hits.
     """
-    columns = frame.columns
-    row = F.struct(*columns)
-    place = f"struct<pos:int,key:string,row:{frame.select(row.alias('r')).schema['r'].dataType.simpleString()}>"
-    head = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).alias("key"), row.alias("row")).cast(place))
-    tail = F.transform(
-        keys,
-        lambda key, pos: F.struct(
-            pos.alias("pos"), key.alias("key"), F.lit(None).alias("row")
-        ).cast(place),
-    )
-    places = frame.repartition(id_col).select(
-        _known(id_col).alias("_id"),
-        F.inline(F.concat(head, F.coalesce(tail, F.array().cast(f"array<{place}>")))),
-    )
-    hit = F.when(F.col("value").isNotNull(), F.struct("pos", "value"))
-    rows = (
-        places.join(F.broadcast(table.frame), "key", "left")
-        .where(F.col("value").isNotNull() | (F.col("pos") < 0))
-        .groupBy("_id")
-        .agg(F.any_value("row", F.lit(True)).alias("row"), F.collect_list(hit).alias("_found"))
-    )
-    value = _aligned("_found", F.col(f"row.{keys}"), table.value_type)
-    return rows.select("row.*", value.alias(out))
-
-
-def _shuffled_lookup(
-    frame: DataFrame, keys: str, table: ReferenceTable, out: str, id_col: str
-) -> DataFrame:
-    """Shuffle join on the key; only ids, places and tokens take part."""
-    places = frame.select(_known(id_col).alias("_id"), F.posexplode_outer(keys).alias("pos", "key"))
+    keyed = settled(frame, _key=F.md5(F.to_json(keys)))
+    places = keyed.select("_key", F.posexplode(keys).alias("pos", "key")).where("key IS NOT NULL")
+    values = F.broadcast(table.frame) if table.how == "broadcast" else table.frame.hint("merge")
+    # Equal arrays in several rows give equal hits, which are kept once.
     found = (
-        places.join(table.frame, "key")
-        .groupBy("_id")
-        .agg(F.collect_list(F.struct("pos", "value")).alias("_found"))
+        places.join(values, "key")
+        .groupBy("_key")
+        .agg(F.collect_set(F.struct("pos", "value")).alias("_found"))
     )
     value = _aligned("_found", F.col(keys), table.value_type)
     return (
-        frame.join(found, _known(id_col) == F.col("_id"), "left")
+        keyed.join(found, "_key", "left")
         .withColumn("_found", F.coalesce("_found", F.array()))
         .withColumn(out, value)
-        .drop("_id", "_found")
+        .drop("_key", "_found")
     )
 
 
-def _known(id_col: str) -> Column:
-    """The id of a row, which puts its tokens together again; NULL cannot, so it ends the job."""
-    missing = F.raise_error(F.lit(f"{id_col} is NULL: a look-up by join needs an id for every row"))
-    return F.coalesce(F.col(id_col), missing)
-
-
 def reference_frame(spark: SparkSession, rows: Mapping[str, Any], value_type: str) -> DataFrame:
     """``rows`` as a (key, value) frame, for joining or for writing out."""
     schema = f"key string, value {value_type}"

@@ -126,11 +126,13 @@ def tag_tokens(
     lexicon: Lexicon | None = None,
     tokens: str = "tokens",
     out: str = "words",
-    id_col: str = "text_id",
+    id_col: str | None = None,
     verbs_only: bool = False,
 ) -> DataFrame:
     """Add the tagged words of an ARRAY<STRING> column, aligned with it.
 
+    ``id_col`` is not needed: rows may share an id or have none.
+
     What a token needs of its neighbours is zipped to it: an array reached from
     inside the lambda could be put together anew for every token.
     """
@@ -148,7 +150,7 @@ def tag_tokens(
             return _resolve(entry["token"], form, listed, tag, entry["before"], lexicon, verbs_only)
     else:
         frame = settled(frame, _forms=F.transform(tokens, tx.casefold))
-        frame = lookup_tokens(frame, "_forms", lexicon.forms, "_tags", id_col)
+        frame = lookup_tokens(frame, "_forms", lexicon.forms, "_tags")
         parts += [F.col("_forms").alias("form"), F.col("_tags").alias("tag")]
 
         def words(entry: Column) -> Column:
@@ -165,7 +167,7 @@ def tag_texts(
     text: str = "text",
     tokens: str = "tokens",
     out: str = "words",
-    id_col: str = "text_id",
+    id_col: str | None = None,
     verbs_only: bool = False,
 ) -> DataFrame:
     """Tokenize and tag a STRING column; adds ``tokens`` and ``words``."""

@@ -64,12 +64,16 @@ def test_folder_gives_ids_and_equal_counts_for_every_lookup(spark, tmp_path):
     assert [r[2] for r in results[0]] == [3, 3, 1, 0]
 
 
-def test_lookup_by_join_refuses_missing_ids(spark):
+def test_repeated_and_missing_ids_keep_their_rows_in_every_lookup(spark):
     table = spark.createDataFrame(seed_lexicon_rows(), LEXICON_SCHEMA)
-    lexicon = Lexicon.from_frame(table, inline_bytes=0)
-    texts = spark.createDataFrame([(None, "Er baute.")], "text_id bigint, text string")
-    with pytest.raises(Exception, match="text_id is NULL"):
-        plans.process_frame(texts, None, lexicon).collect()
+    rows = [(1, "Er baute."), (1, "Er baute es und spielt."), (None, "Er baute."), (None, None), (2, ""), (1, "Er baute."), (3, None)]
+    texts = spark.createDataFrame(rows, "text_id bigint, text string").repartition(3)
+    results = []
+    for limits in ({}, {"inline_bytes": 0}, {"inline_bytes": 0, "broadcast_bytes": 0}):
+        done = plans.process_frame(texts, None, Lexicon.from_frame(table, **limits))
+        results.append(sorted((repr(r.original_text), r.corrected_text or "", r.verb_count) for r in done.collect()))
+    assert results[0] == results[1] == results[2]
+    assert [r[2] for r in results[0]] == [0, 2, 1, 1, 1, 0, 0]
 
 
 def test_process_files_keeps_input_order(spark, tmp_path):
