@@ -55,11 +55,7 @@ def pack(ids: np.ndarray) -> dict[str, bytes]:
         flat[len(ids) :] = blocks[-1, 0]
     minima = blocks.min(axis=1, initial=2**32 - 1).astype("<u4")
     blocks -= minima[:, None]
-    bits = np.zeros(blocks.shape, dtype=np.uint8)  # the bits each number needs
-    for width in range(32):
-        if not (above := blocks >> np.uint32(width)).any():
-            break
-        bits += above > 0
+    bits = np.frexp(blocks.astype(np.float64))[1].astype(np.uint8)  # the bits each number needs
     at = BLOCK * PERCENTILE // 100
     widths = np.partition(bits, at, axis=1)[:, at] if count else np.zeros(0, dtype=np.uint8)
     starts = np.concatenate([[0], np.cumsum(widths.astype(np.int64) * (BLOCK // 8))])
@@ -85,6 +81,9 @@ def pack(ids: np.ndarray) -> dict[str, bytes]:
 
 def _pack_bits(numbers: np.ndarray, width: int) -> np.ndarray:
     """The low ``width`` bits of each number, lowest first, 8 to a byte."""
+    if width % 8 == 0:
+        whole = np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(len(numbers), BLOCK, 4)
+        return whole[:, :, : width // 8].reshape(len(numbers), -1)
     shifts = np.arange(width, dtype=np.uint32)
     out = np.empty((len(numbers), BLOCK * width // 8), dtype=np.uint8)
     for i in range(0, len(numbers), 256):
@@ -104,6 +103,12 @@ def unpack(page: dict[str, bytes], n_ids: int) -> np.ndarray:
         rows = np.flatnonzero(widths == width)
         if not width:
             continue
+        if width % 8 == 0:
+            places = starts[rows][:, None] + np.arange(int(width) * BLOCK // 8)
+            whole = np.zeros((len(rows), BLOCK, 4), dtype=np.uint8)
+            whole[:, :, : width // 8] = packed[places].reshape(len(rows), BLOCK, width // 8)
+            blocks[rows] = whole.view("<u4")[:, :, 0]
+            continue
         powers = np.uint32(1) << np.arange(width, dtype=np.uint32)
         for i in range(0, len(rows), 256):
             some = rows[i : i + 256]
@@ -139,6 +144,14 @@ def unpack_block(page: dict[str, bytes], number: int) -> np.ndarray:
 # --- tokens -----------------------------------------------------------------
 
 
+def _plain_end(core: str) -> bool:
+    """Whether a stretch ends in a letter whose lower case ends in one too.
+
+    Asked of letters up to the Latin ones with signs; all others count as none.
+    """
+    return "" < core[-1:] < "\u0250" and core[-1].isalpha() and core[-1].lower()[-1].isalpha()
+
+
 class _Stretches(dict):
     """The ids of stretches between white space, each encoded once.
 
@@ -154,7 +167,7 @@ class _Stretches(dict):
         ids = self.old.get(stretch)
         if ids is None:
             core = stretch.rstrip(MARKS)
-            if core != stretch and core[-1:].isalpha():  # a token never holds both
+            if core != stretch and _plain_end(core):  # a token never holds both
                 ids = self[core] + self[stretch[len(core) :]]
             else:
                 ids = np.array(self.encode(stretch), dtype="<u4").tobytes()
@@ -189,27 +202,32 @@ _ready: dict[tuple[str, bool], Callable[[str], bytes]] = {}
 
 
 def word_tokenizer(path: str, by_stretch: bool = True) -> Callable[[str], bytes]:
-    """Text to ids with a file of the tokenizers library, without special tokens.
+    """Text to ids with a file of the tokenizers library, as its plain call without special tokens gives them.
 
-    Their strings in a text are ordinary text. ``by_stretch`` is for vocabularies
-    of lower case that drop white space and never look across it: each stretch
-    between white space is then encoded once and remembered.
+    So a string of a special token in a text is that token, as in the library.
+    ``by_stretch`` is for vocabularies of lower case that drop white space and never
+    look across it: each stretch between white space is then encoded once and
+    remembered. Texts that may hold a special token's string are left to the library.
     """
     key = (path, by_stretch)
     if key not in _ready:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        special = [token.content.lower() for token in tokenizer.get_added_tokens_decoder().values()]
 
         def encode(text: str) -> list[int]:
             return tokenizer.encode(text, add_special_tokens=False).ids
 
-        if by_stretch:
-            stretches = _Stretches(encode)
-            _ready[key] = lambda text: b"".join(map(stretches.__getitem__, stretches_of(text)))
-        else:
-            _ready[key] = lambda text: np.array(encode(text), dtype="<u4").tobytes()
+        stretches = _Stretches(encode)
+
+        def ids_of(text: str) -> bytes:
+            lowered = text.lower()
+            if not by_stretch or any(token in lowered for token in special):
+                return np.array(encode(text), dtype="<u4").tobytes()
+            return b"".join(map(stretches.__getitem__, stretches_of(text)))
+
+        _ready[key] = ids_of
     return _ready[key]
 
 

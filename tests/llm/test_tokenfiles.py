@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -14,7 +15,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def known():
     tokenizer = tokenizers.Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -40,11 +40,26 @@ def test_random_blocks_and_outliers():
     assert len(tf.pack(few)["packed"]) == 0 and len(tf.pack(few)["exception_places"]) == 20
 
 
-@pytest.mark.parametrize("text", ["It's <|endoftext|>!", "Àé'ß ΣΑΣ İ\x1c\x1dx\x85y z", "é ́a 日本!", "…so… (x).y'll", " a  b\r\n"])
+@pytest.mark.parametrize("text", [
+    "It's <|endoftext|>!", "a<|endoftext|>b", "<|ENDOFTEXT|> x", "<|end oftext|>", "BELGESİ. TARİHİ, YERİ", "İ!", "ŉ. ǰ! ẗ, ẖ.",
+    "Àé'ß ΣΑΣ İ\x1c\x1dx\x85y z", "é ́a 日本!", "…so… (x).y'll", " a  b\r\n",
+])
 def test_stretches_change_nothing(known, text):
     assert np.frombuffer(tf.word_tokenizer(PATH)(text), dtype="<u4").tolist() == known(text)
 
 
+def test_any_characters_in_stretches(known):
+    """Letters whose lower case is longer, combining marks, signs and digits, in front of marks and not."""
+    chosen = random.Random(6)
+    odd = "İIiıŉǰΐẖẗẘẙẚßﬁÅÅÄʼnΣσςǅǈ\u0307\u0301\u0345ªº²½ٱ٣अाक्षไทย한국日本\u00ad\u200d\u00a0\u2003"
+    pool = [*odd, *"abzAZ09_'’", *tf.MARKS, " ", " ", "\n", "\t", "\x1f"]
+    pool += [c for c in map(chr, range(0xA1, 0x600)) if c.isprintable()]
+    encode = tf.word_tokenizer(PATH)
+    for _ in range(4000):
+        text = "".join(chosen.choices(pool, k=chosen.randint(1, 14)))
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == known(text), ascii(text)
+
+
 def test_files_of_the_whole_table(spark, docs, rows, known, tmp_path, monkeypatch):
     monkeypatch.setattr(tf, "PAGE_IDS", 2000)
     path = str(tmp_path / "files")
