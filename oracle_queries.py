@@ -347,6 +347,49 @@ DOC_METRICS = metrics_prefix(DOCS, flattened("text"))
 METRICS = ("total_words", "total_verbs", "main_verbs", "aux_verbs")
 
 
+def rule_prefix() -> str:
+    """Table outs(id, pos, o): the tokens of all documents by rules of one to six tokens."""
+    leads = ", ".join(f"lead(token, {k}) OVER w AS t{k}" for k in range(1, 6))
+    joined = ["token"]
+    for k in range(1, 6):
+        joined.append(f"{joined[-1]} || ' ' || t{k}")
+    keys = " UNION ALL ".join(f"SELECT id, tok_id, {n} AS n, {key} AS key FROM near" for n, key in enumerate(joined, 1))
+    return with_(
+        ("src", DOCS),
+        *token_cte("FROM src"),
+        ("near", f"SELECT *, {leads} FROM tok WINDOW w AS (PARTITION BY id ORDER BY tok_id)"),
+        ("keys", keys),
+        ("rules", """SELECT DISTINCT n, key FROM keys JOIN documents ON doc_id = id
+            WHERE lang = 'de' AND tok_id = 0 AND n = doc_id % 6 + 1 AND key IS NOT NULL"""),
+        ("longest", "SELECT id, tok_id, max_by(key, n) AS key, max(n) AS n FROM keys JOIN rules USING (n, key) GROUP BY ALL"),
+        ("flags", """SELECT id, string_agg(coalesce(n, 0), '' ORDER BY tok_id) AS f
+            FROM tok LEFT JOIN longest USING (id, tok_id) GROUP BY id"""),
+        ("steps", """SELECT id, unnest(s) AS step, generate_subscripts(s, 1) AS no FROM
+            (SELECT id, regexp_extract_all(f, '0|1|2.|3..|4...|5....|6.....') AS s FROM flags)"""),
+        ("places", """SELECT id, step, sum(length(step)) OVER (PARTITION BY id ORDER BY no) - length(step) AS pos FROM steps"""),
+        ("outs", """SELECT p.id, p.pos, CASE WHEN step = '0' THEN token ELSE '<' || key || '>' END AS o
+            FROM places p JOIN tok ON tok.id = p.id AND tok.tok_id = p.pos
+            LEFT JOIN longest l ON l.id = p.id AND l.tok_id = p.pos"""),
+    )
+
+
+def spelling_prefix() -> str:
+    """Table best(word, n, suggestion, suggestion_n, distance) for words said once and one letter off."""
+    return with_(
+        ("src", DOCS),
+        *token_cte("FROM src"),
+        ("vocab", "SELECT token AS word, count(*) AS n FROM tok WHERE regexp_full_match(token, '\\p{L}+') GROUP BY 1"),
+        ("cut", """SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest
+            FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocab)"""),
+        ("near", """SELECT u.word, u.n, k.word AS suggestion, k.n AS suggestion_n FROM cut u JOIN cut k
+              ON k.i = u.i AND k.rest = u.rest AND length(k.word) = length(u.word)
+            UNION SELECT u.word, u.n, k.word, k.n FROM cut u JOIN vocab k ON k.word = u.rest
+            UNION SELECT u.word, u.n, k.word, k.n FROM vocab u JOIN cut k ON k.rest = u.word"""),
+        ("best", """SELECT *, 1::BIGINT AS distance FROM near WHERE n <= 1 AND suggestion_n >= 10 AND length(word) >= 4
+            QUALIFY row_number() OVER (PARTITION BY word ORDER BY suggestion_n DESC, suggestion) = 1"""),
+    )
+
+
 def usage_prefix() -> str:
     return correction_prefix(
         (
@@ -498,6 +541,22 @@ def build() -> dict[str, str]:
           count(ct) < count(bt) AS flag_shorter, coalesce(any_value(gone.n), 0) > 0 AS flag_deleted
         FROM src LEFT JOIN place ON place.id = src.id LEFT JOIN gone ON gone.id = src.id LEFT JOIN come ON come.id = src.id
         GROUP BY src.id""",
+        "rewrite_rules": rule_prefix()
+        + """SELECT src.id AS doc_id, count(o) AS n_tokens, coalesce(string_agg(o, ' ' ORDER BY pos), '') AS rewritten
+        FROM src LEFT JOIN outs ON outs.id = src.id GROUP BY src.id""",
+        "spelling_suggestions": spelling_prefix() + "SELECT * FROM best",
+        "correct_unknown": spelling_prefix()
+        + """SELECT src.id AS doc_id, coalesce(string_agg(coalesce(suggestion, token), ' ' ORDER BY tok_id), '') AS corrected
+        FROM src LEFT JOIN tok ON tok.id = src.id LEFT JOIN best ON best.word = tok.token GROUP BY src.id""",
+        "answer_store": with_(
+            ("src", DOCS),
+            *token_cte("FROM src"),
+            ("lists", f"SELECT lang, regexp_extract_all(text, {lit(TOKEN)}) AS t FROM documents"),
+            ("calls", """SELECT count(DISTINCT t) FILTER (lang = 'de') AS german, count(DISTINCT t) AS all_ FROM lists"""),
+        )
+        + f"""SELECT src.id AS doc_id, {quoted(detokenized("coalesce(string_agg(token, ' ' ORDER BY tok_id), '')"))} AS corrected,
+          CAST(NULL AS VARCHAR) AS error, any_value(german) AS calls_german, any_value(all_ - german) AS calls_all, 0::BIGINT AS calls_again
+        FROM src LEFT JOIN tok ON tok.id = src.id, calls GROUP BY src.id""",
         "dedupe_requests": f"""SELECT count(*) AS n_texts,
           count(DISTINCT regexp_extract_all(text, {lit(TOKEN)})) AS n_calls FROM documents""",
         "usage_totals": usage_prefix() + "SELECT * FROM total",

@@ -28,6 +28,7 @@ TOKEN = rf"[{WORD_CHARS}]+(?:-[{WORD_CHARS}]+)*+|[^{WORD_CHARS}{SPACE_CHARS}]"
 SENTENCE = rf"[^.!?]*[.!?][.!?{SPACE_CHARS}]*|[^.!?]+"
 NOT_PUNCTUATION = r"""[^.,!?;:"'()\[\]{}]"""
 HAS_WORD_CHAR = f"[{WORD_CHARS}]"
+LETTERS_ONLY = r"\A\p{L}+\z"
 CAPITALISED = r"\A\p{Lu}"
 ASCII_QUOTED = r'"([^"]*)("|\z)'
 OPENING_QUOTE = "„"

@@ -236,7 +236,7 @@ def correct_spelling(
 
     ``backend`` is a rewrite table (the default) or a function that builds a
     corrector; the latter is called once per distinct token list, and its answers
-    are kept under ``answers_path`` if that is given.
+    are kept in the store under ``answers_path`` if that is given.
     """
     tokens = "_source_tokens"
     is_text = isinstance(frame.schema[source].dataType, StringType)
@@ -266,24 +266,6 @@ def distinct_requests(frame: DataFrame, tokens: str = "tokens") -> DataFrame:
     return counted.select(request_key(F.col(tokens)).alias("key"), tokens, "n_texts")
 
 
-def write_answers(
-    frame: DataFrame,
-    make_corrector: Callable[[], Corrector],
-    path: str,
-    tokens: str = "tokens",
-    out: str = "corrected_tokens",
-    on_error: str = "column",
-) -> DataFrame:
-    """Call the backend once per distinct token list and keep the answers as Parquet.
-
-    This runs the job. Later plans read the answers, so paid calls are not made
-    again after the loss of an executor and no answer changes between its uses.
-    """
-    answers = correct_with(distinct_requests(frame, tokens), make_corrector, tokens, out, on_error)
-    answers.select("key", out, "error").write.mode("overwrite").parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def with_answers(
     frame: DataFrame, answers: DataFrame, tokens: str = "tokens", id_col: str = "text_id"
 ) -> DataFrame:
@@ -308,14 +290,16 @@ def correct_distinct(
 ) -> DataFrame:
     """Call the backend once per distinct token list and join the answers back.
 
-    With ``answers_path`` the calls are made now and kept there. Without it this
-    only makes a plan: fit for backends whose calls may be repeated.
+    With ``answers_path`` the calls are made now and kept in the store there, which
+    later runs ask first. Without it this only makes a plan: fit for backends whose
+    calls may be repeated.
     """
     if answers_path is not None:
-        answers = write_answers(frame, make_corrector, answers_path, tokens, out, on_error)
-    else:
-        requests = distinct_requests(frame, tokens)
-        answers = correct_with(requests, make_corrector, tokens, out, on_error).select("key", out, "error")
+        from satzwerk.operators.answers import correct_stored  # that module builds on this one
+
+        return correct_stored(frame, make_corrector, answers_path, tokens, out, id_col, on_error)
+    requests = distinct_requests(frame, tokens)
+    answers = correct_with(requests, make_corrector, tokens, out, on_error).select("key", out, "error")
     return with_answers(frame, answers, tokens, id_col)
 
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from satzwerk.functions import tags, text as tx
-from satzwerk.operators import correction, tokens as tk, usage as us
+from satzwerk.operators import alignment, answers, correction, spelling, tokens as tk, usage as us
 from satzwerk.operators.lexicon import Lexicon, Rewrites, examples_frame, seed_rewrites
 from satzwerk.operators.tagging import tag_texts, word_table
 from satzwerk.plans import metrics as plans
-from satzwerk.sources.sinks import metrics_rows
+from satzwerk.sources.sinks import metrics_rows, scratch_path
 from satzwerk.sources.texts import drop_blank, read_texts, spread
 
 # The words of the test tables are invented; these rewrites occur in them.
@@ -134,6 +134,54 @@ def dedupe_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _by_language(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, lang and tokens of the documents."""
+    table = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
+    return spread(table, "doc_id").withColumn("tokens", tx.tokenize(F.col("text"))).drop("text")
+
+
+def correction_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's correction as a shortest edit script, counted."""
+    audit = alignment.edit_audit(F.col("tokens"), F.col("corrected_tokens"))
+    return _corrected(spark, folder).select("doc_id", audit.alias("_audit")).select("doc_id", "_audit.*").drop("script")
+
+
+def rewrite_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents by rules of one to six tokens: the beginnings of the German ones, put in brackets."""
+    texts = _by_language(spark, folder)
+    n = (F.col("doc_id") % 6 + 1).cast("int")
+    src = F.slice("tokens", F.lit(1), n)
+    rules = texts.where((F.col("lang") == "de") & (F.array_size("tokens") >= n)).select(
+        n.alias("n"), src.alias("src"), F.array(F.concat(F.lit("<"), F.array_join(src, " "), F.lit(">"))).alias("dst")
+    )
+    done = correction.rewrite_tokens(texts, Rewrites.from_frame(rules, inline_bytes=0), "tokens", "_out")
+    return done.select("doc_id", tags.size_of(F.col("_out")).alias("n_tokens"), F.array_join("_out", " ").alias("rewritten"))
+
+
+def _suggestions(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.suggestions(spelling.vocabulary(documents(spark, folder)), two_from=None)
+
+
+def correct_unknown(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with words said once replaced by a frequent one a letter away."""
+    rules = spelling.as_rewrites(_suggestions(spark, folder))
+    done = correction.rewrite_tokens(_tokens(spark, folder), rules, "tokens", "_out")
+    return done.select("doc_id", F.array_join("_out", " ").alias("corrected"))
+
+
+def answer_store(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents by answers of three runs, and how often each run called: German ones, all, all again."""
+    texts, path = _by_language(spark, folder), scratch_path(spark, "answers")
+    german = answers.answer_open_requests(texts.where("lang = 'de'"), correction.identity_corrector, path)
+    all_ = answers.answer_open_requests(texts, correction.identity_corrector, path)
+    again = answers.answer_open_requests(texts, correction.identity_corrector, path)
+    done = answers.correct_stored(texts, correction.identity_corrector, path, id_col="doc_id")
+    return done.select(
+        "doc_id", correction.corrected_text(F.col("corrected_tokens")).alias("corrected"), "error",
+        F.lit(german).cast("bigint").alias("calls_german"), F.lit(all_).cast("bigint").alias("calls_all"), F.lit(again).cast("bigint").alias("calls_again"),
+    )
+
+
 def usage(spark: SparkSession, folder: str) -> DataFrame:
     """Usage of one call per document; only German calls report a cost."""
     table = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
@@ -270,6 +318,11 @@ QUERIES: dict[str, Query] = {
     "correct_identity": correct_identity,
     "correct_whole_text": correct_whole_text,
     "correction_audit": correction_audit,
+    "correction_edits": correction_edits,
+    "rewrite_rules": rewrite_rules,
+    "spelling_suggestions": _suggestions,
+    "correct_unknown": correct_unknown,
+    "answer_store": answer_store,
     "dedupe_requests": dedupe_requests,
     "usage_totals": lambda s, f: us.usage_totals(usage(s, f)),
     "cost_info": lambda s, f: us.cost_info(usage(s, f)),

@@ -6,10 +6,11 @@ merges small partitions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from satzwerk.functions import fixed, text as tx
 from satzwerk.operators.correction import TextCorrector, correct_whole_text
@@ -22,6 +23,18 @@ CSV_FORMAT = {
 }
 
 
+# Where a local session without spark.checkpoint.dir writes.
+LOCAL_FOLDER = "file:///tmp/checkpoints"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(folder or LOCAL_FOLDER).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def metrics_rows(metrics: DataFrame, name: str = "name") -> DataFrame:
     """The columns of the metrics CSV under their printed names."""
     return metrics.select(
