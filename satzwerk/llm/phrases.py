@@ -8,15 +8,16 @@ those at blanks into words; all is counted per lang.
    get one; all others, and the ends of pieces, are 0.
 2. A phrase of n words is a candidate if both phrases of n - 1 words in it are
    frequent (Apriori) and if its bucket is: all candidates are first counted in
-   ``1 << BUCKET_BITS`` saturating buckets (Park, Chen and Yu 1995). Neither test
-   can lose a frequent phrase. More text only makes the buckets sieve less.
+   saturating buckets (Park, Chen and Yu 1995), one for two occurrences of frequent
+   words. Neither test can lose a frequent phrase. Where the text would need more
+   than ``1 << MOST_BITS`` buckets, they only sieve less and more tries follow.
 3. Candidates go into double-array tries (Aoe 1989) over the bytes of their word
    numbers, at most ``PORTION`` in one, and are broadcast one trie after the other.
    Numpy moves the states of all positions of a block on together, byte by byte,
    drops the positions that have left the trie, and counts the accepting states
    by ``bincount``; the counts of all tasks are summed.
 
-Only buckets (2 MB) and one trie pass through the driver at a time.
+Only buckets (a bit each, 16 MB at most) and one trie pass through the driver at a time.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ from pyspark.sql.types import StructType
 
 from satzwerk.llm.shared import forget, saved
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Langs of which a task holds an open block.
 LANGS = 16
 #: A long text is split into words in stretches of about this size.
 STRETCH = 1 << 20
-BUCKET_BITS = 24
+LEAST_BITS, MOST_BITS = 16, 27
 SLICE = 1 << 16
 #: Distinct candidates that a task holds before it sends them.
 HELD = 1 << 21
@@ -269,10 +270,14 @@ def _pairs(ids: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return both, s[both].astype(np.int64), s[both + 1].astype(np.int64)
 
 
-def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def bits_for(occurrences: int) -> int:
+    return min(max((occurrences // 2).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _bucket(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     mixed = (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
@@ -281,14 +286,14 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, str, np.nd
             yield block, lang, _unpack(ids, "<i4"), _unpack(states, "<i4")
 
 
-def full_buckets(blocks: DataFrame, least: int) -> np.ndarray:
-    """For each bucket whether ``least`` candidates or more (255 count as any more) fall into it."""
+def full_buckets(blocks: DataFrame, bits: int, least: int) -> np.ndarray:
+    """A bit for each bucket: whether ``least`` candidates or more (255 count as any more) fall into it."""
     least = min(least, 255)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
+        full = np.zeros(1 << bits, dtype=np.uint8)
         for *_, ids, states in _blocks(batches):
-            buckets, counts = np.unique(_bucket(*_pairs(ids, states)[1:]), return_counts=True)
+            buckets, counts = np.unique(_bucket(*_pairs(ids, states)[1:], bits), return_counts=True)
             full[buckets] = np.minimum(full[buckets] + counts, least)
         for start in range(0, len(full), SLICE):
             part = full[start : start + SLICE]
@@ -308,19 +313,19 @@ def full_buckets(blocks: DataFrame, least: int) -> np.ndarray:
     schema = to_arrow_schema(StructType.fromDDL(kind))
     cast = lambda run: lambda batches: (b.cast(schema) for b in run(batches))
     sums = blocks.mapInArrow(cast(count), kind).repartition("slice").mapInArrow(cast(add), kind)
-    full = np.zeros(1 << BUCKET_BITS, dtype=bool)
-    for number, bits in sums.collect():
-        full[number * SLICE : (number + 1) * SLICE] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8))
+    full = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for number, part in sums.collect():
+        full[number * SLICE // 8 : (number + 1) * SLICE // 8] = np.frombuffer(part, dtype=np.uint8)
     return full
 
 
-def candidates(blocks: DataFrame, words: list[str], least: int) -> DataFrame:
+def candidates(blocks: DataFrame, words: list[str], bits: int, least: int) -> DataFrame:
     """The distinct phrases of which both parts are frequent and whose bucket is full, as numbers of words."""
-    sieve = blocks.sparkSession.sparkContext.broadcast(np.packbits(full_buckets(blocks, least)))
+    sieve = blocks.sparkSession.sparkContext.broadcast(full_buckets(blocks, bits, least))
     kind = to_arrow_schema(StructType.fromDDL(", ".join(f"{w} int" for w in words)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full, held = np.unpackbits(sieve.value).astype(bool), []
+        full, held = sieve.value, []
 
         def distinct() -> list[np.ndarray]:
             keys, first = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
@@ -328,7 +333,9 @@ def candidates(blocks: DataFrame, words: list[str], least: int) -> DataFrame:
 
         for *_, ids, states in _blocks(batches):
             at, left, right = _pairs(ids, states)
-            at, keys = at[on := full[_bucket(left, right)]], left[on] << 32 | right[on]
+            bucket = _bucket(left, right, bits)
+            on = (full[bucket >> 3] >> (7 - (bucket & 7)) & 1) > 0
+            at, keys = at[on], left[on] << 32 | right[on]
             keys, first = np.unique(keys, return_index=True)
             held = [*held, [keys, *(ids[at[first] + k] for k in range(len(words)))]]
             held = [distinct()]
@@ -405,9 +412,10 @@ def counted_phrases(docs: DataFrame, least: int, size: int) -> tuple[DataFrame,
     words = numbered(words, "phrase-words")
     ids = saved(number_words(blocks, words.select("lang", "word", "id")), "phrase-ids")
     forget(blocks)
+    bits = bits_for(words.agg(F.sum("f")).first()[0] or 0)
 
     def frequent(states: DataFrame, spread: list[str]) -> DataFrame:
-        asked = numbered(candidates(states, spread, least), "phrase-candidates")
+        asked = numbered(candidates(states, spread, bits, least), "phrase-candidates")
         found = asked.join(count_phrases(ids, asked, spread, size), "id").where(F.col("f") >= least).drop("id")
         return numbered(found, "phrases")
 
