@@ -319,33 +319,59 @@ def full_buckets(blocks: DataFrame, bits: int, least: int) -> np.ndarray:
     return full
 
 
+def _distinct(columns: np.ndarray) -> np.ndarray:
+    """The distinct columns of rows of numbers, in order."""
+    columns = columns[:, np.lexsort(columns[::-1])]
+    new = np.ones(columns.shape[1], dtype=bool)
+    new[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
+    return columns[:, new]
+
+
 def candidates(blocks: DataFrame, words: list[str], bits: int, least: int) -> DataFrame:
-    """The distinct phrases of which both parts are frequent and whose bucket is full, as numbers of words."""
-    sieve = blocks.sparkSession.sparkContext.broadcast(full_buckets(blocks, bits, least))
-    kind = to_arrow_schema(StructType.fromDDL(", ".join(f"{w} int" for w in words)))
+    """The distinct phrases of which both parts are frequent and whose bucket is full, as numbers of words.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full, held = sieve.value, []
+    A task sends what it has found as sorted, compressed arrays, one for each share
+    of the buckets, and each share is put together in one place.
+    """
+    spark = blocks.sparkSession
+    sieve = spark.sparkContext.broadcast(full_buckets(blocks, bits, least))
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent, found = (to_arrow_schema(StructType.fromDDL(t)) for t in ("share int, data binary", ", ".join(f"{w} int" for w in words)))
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full, held = sieve.value, np.zeros((len(words) + 1, 0), dtype=np.int32)
 
-        def distinct() -> list[np.ndarray]:
-            keys, first = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
-            return [keys, *(np.concatenate([h[k] for h in held])[first] for k in range(1, len(words) + 1))]
+        def send() -> pa.RecordBatch:
+            cuts = np.searchsorted(held[0], np.arange(shares + 1))
+            rows = [(n, _pack(held[1:, cuts[n] : cuts[n + 1]])) for n in range(shares) if cuts[n] < cuts[n + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), sent, strict=True)], schema=sent)
 
         for *_, ids, states in _blocks(batches):
             at, left, right = _pairs(ids, states)
             bucket = _bucket(left, right, bits)
             on = (full[bucket >> 3] >> (7 - (bucket & 7)) & 1) > 0
-            at, keys = at[on], left[on] << 32 | right[on]
-            keys, first = np.unique(keys, return_index=True)
-            held = [*held, [keys, *(ids[at[first] + k] for k in range(len(words)))]]
-            held = [distinct()]
-            if len(held[0][0]) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in held[0][1:]], schema=kind)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in held[0][1:]], schema=kind)
-
-    return blocks.mapInArrow(run, ", ".join(f"{w} int" for w in words)).distinct()
+            more = np.stack([bucket[on] % shares, *(ids[at[on] + k] for k in range(len(words)))]).astype(np.int32)
+            held = _distinct(np.concatenate([held, more], axis=1))
+            if held.shape[1] > HELD:
+                yield send()
+                held = held[:, :0]
+        if held.shape[1]:
+            yield send()
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for share, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = held.setdefault(share, [])
+                parts.append(_unpack(data, "<i4").reshape(len(words), -1))
+                if sum(p.shape[1] for p in parts[1:]) > max(HELD, parts[0].shape[1]):  # what came since is more than what is merged
+                    parts[:] = [_distinct(np.concatenate(parts, axis=1))]
+        for parts in held.values():
+            columns = _distinct(np.concatenate(parts, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], schema=found)
+
+    by_share = blocks.mapInArrow(find, "share int, data binary").repartition(shares, "share")
+    return by_share.mapInArrow(join, ", ".join(f"{w} int" for w in words))
 
 
 def portions(phrases: DataFrame, words: list[str], size: int) -> Iterator[tuple[int, Trie]]:
