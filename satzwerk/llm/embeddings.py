@@ -229,7 +229,8 @@ def near_duplicates(
 
     Vectors link if their labels are equal and not NULL, their dimensions equal
     and their cosine at least ``threshold``. A vector that is NULL, empty, zero or
-    holds NULL or what is not finite links with nothing. Equal vectors of a label
+    holds NULL or what is not finite links with nothing, nor does one without
+    vec_id, whose component_id is NULL. Equal vectors of a label
     are one vector with a weight, so copies never meet as pairs; they link with
     each other and share all links. Repeated rows count as vectors of their own.
     ``component_id`` is the smallest vec_id reachable. More filters (a lower
@@ -239,7 +240,7 @@ def near_duplicates(
     code = {"tables": tables, "parts": parts, "codes": codes, "height": height}
     same = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))  # no negative zero
     rows = embeddings.select("vec_id", "label", same.alias("embedding")).withColumn(
-        "usable", _usable(F.col("embedding")) & F.col("label").isNotNull()
+        "usable", _usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     )
     digest = [F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding", "label").alias("h2")]
     usable = rows.where("usable").select("vec_id", "label", "embedding", *digest)

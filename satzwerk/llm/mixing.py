@@ -88,7 +88,7 @@ def mix(
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
-        F.struct(F.lit(1).alias("_"), *carry).alias("_doc"),
+        F.struct(*carry or [F.lit(1).alias("_")]).alias("_doc"),
     )
     if labels is None:
         rows = rows.withColumn("_w", F.lit(UNKNOWN))

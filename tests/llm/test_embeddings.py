@@ -85,3 +85,9 @@ def test_decoding_finds_every_direction_above_the_height():
 
 def test_empty(spark):
     assert em.near_duplicates(spark.createDataFrame([], TYPE)).collect() == []
+
+
+def test_vectors_without_an_id_link_with_nothing(spark):
+    rows = [(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (None, [1.0, 0.0], 1)]
+    found = em.near_duplicates(spark.createDataFrame(rows, TYPE)).collect()
+    assert sorted(map(repr, (tuple(r) for r in found))) == sorted(map(repr, [(None, 0, None, True)] * 2 + [(1, 1, 1, True), (2, 1, 1, False)]))

@@ -81,3 +81,10 @@ def test_no_python_runs_and_empty_tables(docs, empty, labels):
     plan = mixing.mix(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert mixing.mix(empty, labels).collect() == []
+
+
+def test_carried_columns_may_have_any_name(docs):
+    odd = docs.selectExpr("*", "7 AS `_`", "8 AS _doc", "9 AS _w", "doc_id AS _key")
+    mixed = mixing.mix(odd, carry=tuple(odd.columns))
+    given = mixing.expand(mixed, odd.columns).collect()
+    assert given and {(r["_"], r["_doc"], r["_w"]) for r in given} == {(7, 8, 9)} and all(r._key == r.doc_id for r in given)
