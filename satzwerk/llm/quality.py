@@ -6,6 +6,10 @@ noise (keys, encoded data). The ratio of compressed to plain bytes by zstandard
 taken of the whole text and of chunks of ``CHUNK`` bytes, so that a bad stretch
 within a long text shows as well. Plain counts of words, symbols, doubled
 lines and repeated windows stand beside it.
+
+The limits are those of about one byte a letter. So letters of other alphabets are
+one byte each (``as_letters``) before the text is compressed, and a text has the
+same verdict in whatever alphabet it is spelled.
 """
 
 from __future__ import annotations
@@ -36,6 +40,11 @@ MOST_REPEATED = 30  # percent of words within repeated windows
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
+#: Code points beyond Latin letters, marks and signs.
+OTHER_LETTERS = ((0x370, 0x1DFF), (0x1F00, 0x1FFF), (0x2C00, 0x10FFFF))
+#: Signs of an alphabet lie within so many code points.
+ALPHABET = 128
+
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
 
@@ -59,6 +68,25 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edges) > 0).sum())
 
 
+def as_letters(text: str, data: bytes) -> bytes:
+    """The text as ``data`` (UTF-8), but each letter of another alphabet as one byte.
+
+    The byte is 128 and the code point modulo 128. A text of more such signs than
+    an alphabet has (Chinese, Korean) stays as it is.
+    """
+    if len(data) == len(text):
+        return data
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    other = np.zeros(len(points), dtype=bool)
+    for low, high in OTHER_LETTERS:
+        other |= (points >= low) & (points <= high)
+    if not 0 < len(np.unique(points[other])) <= ALPHABET:
+        return data
+    # U+DC80 to U+DCFF stand for the bytes 128 to 255.
+    points = np.where(other, np.uint32(0xDC80) | points & np.uint32(ALPHABET - 1), points).astype("<u4")
+    return points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape")
+
+
 class Bands:
     """The verdict by compression; one compressor for all texts of a worker."""
 
@@ -100,7 +128,7 @@ def measure(text: str | None, bands: Bands) -> tuple:
     lines = [line for line in data.split(b"\n") if line.strip(SPACE)]
     repeated = repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * repeated > MOST_REPEATED * len(words)
-    whole, lowest, highest, inside = bands.look(data)
+    whole, lowest, highest, inside = bands.look(as_letters(text, data) if data else data)
     return (
         len(words), word_chars, n_symbols, len(lines) - len(set(lines)), repeated,
         failed, inside and not failed, whole, lowest, highest,

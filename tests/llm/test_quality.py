@@ -79,3 +79,26 @@ def test_short_bad_texts_and_bad_tails_are_rejected():
     for size in (1100, 4096):  # the bad stretch is less than a chunk, at the end
         assert bands.look(good[:size])[3]
         assert not bands.look(good[:size] + b" 7Qx9 0Zk4" * 40)[3]
+
+
+#: The first letter of each alphabet's row of 26.
+ALPHABETS = {"Greek": 0x3B1, "Cyrillic": 0x430, "Arabic": 0x621, "Devanagari": 0x905, "Chinese signs": 0x4E00}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_verdicts_are_alike_in_every_alphabet(alphabet):
+    bands, spelled = quality.Bands(), {ord("a") + i: ALPHABETS[alphabet] + i for i in range(26)}
+    texts = [data.decode() for data, _, label in labelled()[::3] if label == 1]
+    verdicts = [quality.measure(text.translate(spelled), bands)[quality.KEPT] for text in texts]
+    assert sum(verdicts) >= 0.95 * len(texts)
+    noise = random.Random(4)
+    letters = [chr(n) for n in spelled.values()] + list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    junk = [" ".join("".join(noise.choices(letters, k=60)) for _ in range(80)), ("kaufen sie jetzt billig " * 40).translate(spelled)]
+    assert not any(quality.measure(text, bands)[quality.KEPT] for text in junk)
+
+
+def test_letters_of_latin_texts_stay():
+    for text in ("Müße – „so“ …", "plain", "ÀĐ\u1e9e €"):
+        assert quality.as_letters(text, text.encode()) == text.encode()
+    mixed = "Das ist ж, nicht ü"
+    assert quality.as_letters(mixed, mixed.encode()) == "Das ist ".encode() + b"\xb6" + ", nicht ü".encode()
