@@ -557,6 +557,16 @@ def build() -> dict[str, str]:
         + f"""SELECT src.id AS doc_id, {quoted(detokenized("coalesce(string_agg(token, ' ' ORDER BY tok_id), '')"))} AS corrected,
           CAST(NULL AS VARCHAR) AS error, any_value(german) AS calls_german, any_value(all_ - german) AS calls_all, 0::BIGINT AS calls_again
         FROM src LEFT JOIN tok ON tok.id = src.id, calls GROUP BY src.id""",
+        "usage_of_calls": with_(
+            ("lists", f"SELECT lang, regexp_extract_all(text, {lit(TOKEN)}) AS t FROM documents"),
+            ("asked", "SELECT t, bool_or(lang IS NOT DISTINCT FROM 'de') AS german, len(t) AS p, len(list_filter(t, lambda x: length(x) > 3)) AS c FROM lists WHERE t IS NOT NULL GROUP BY t"),
+            ("runs", """SELECT CASE WHEN german THEN '1 german' ELSE '2 all' END AS run, * FROM asked
+              UNION ALL SELECT 'store', * FROM asked"""),
+        )
+        + f"""SELECT names.run, count(t) AS calls, 0::BIGINT AS failed, CAST(coalesce(sum(p), 0) AS BIGINT) AS prompt_tokens,
+          CAST(coalesce(sum(c), 0) AS BIGINT) AS completion_tokens, CAST(coalesce(sum(p + c), 0) AS BIGINT) AS total_tokens,
+          coalesce(sum(CASE WHEN p % 2 = 0 THEN p * {COST_PER_TOKEN!r}::DOUBLE END), 0) AS cost
+        FROM (VALUES ('1 german'), ('2 all'), ('3 again'), ('store')) AS names(run) LEFT JOIN runs USING (run) GROUP BY names.run""",
         "dedupe_requests": f"""SELECT count(*) AS n_texts,
           count(DISTINCT regexp_extract_all(text, {lit(TOKEN)})) AS n_calls FROM documents""",
         "usage_totals": usage_prefix() + "SELECT * FROM total",

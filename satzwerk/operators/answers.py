@@ -5,33 +5,63 @@ backend only for requests that the store does not hold, and appends what it gets
 Each task moves its file into the folder when it ends (the second algorithm of the
 file committer), so what a run has answered before it was killed is kept, and a
 file is there whole or not at all.
+
+What a call reports of its usage (``correction.Answered``) is kept with the answer.
+The totals of a run are observed in the job that calls; a task that is repeated
+counts once there, as its file is there once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from satzwerk.operators.correction import Corrector, correct_with, distinct_requests, with_answers
+from satzwerk.operators.usage import USAGE_TYPE, total_columns
 
-STORE_TYPE = "key string, tokens array<string>, answer array<string>, error string"
+STORE_TYPE = f"key string, tokens array<string>, answer array<string>, error string, {USAGE_TYPE}"
 #: Requests in one task: no more calls are lost with a task that is killed.
 TASK_REQUESTS = 10_000
 
 
+class CallTotals(NamedTuple):
+    """What the calls of a run were, and what they reported; what they do not report is zero."""
+
+    calls: int = 0
+    failed: int = 0
+    prompt_tokens: int = 0
+    completion_tokens: int = 0
+    total_tokens: int = 0
+    cost: float = 0.0
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a store; one that is not there, or written before usage was kept, has NULLs or no rows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], STORE_TYPE)
+    return spark.read.schema(STORE_TYPE).parquet(path)
+
+
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """key, answer and error of every request in the store; a store that is not there is empty.
 
     Two runs at a time may both have answered a request; then one answer counts, the
     same at every reading, and an answer before an error.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], "key string, answer array<string>, error string")
-    stored = spark.read.schema(STORE_TYPE).parquet(path)
     first = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "answer", "error")).alias("_first")
-    return stored.groupBy("key").agg(first).select("key", "_first.answer", "_first.error")
+    return _stored(spark, path).groupBy("key").agg(first).select("key", "_first.answer", "_first.error")
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """key and usage of every call in the store, for ``usage_totals`` and ``cost_info``.
+
+    Two calls for one request, such as of two runs at a time or after an error, were
+    both made and are two rows.
+    """
+    return _stored(spark, path).drop("tokens", "answer", "error")
 
 
 def open_requests(frame: DataFrame, path: str, tokens: str = "tokens", retry: bool = True) -> DataFrame:
@@ -56,14 +86,28 @@ def answer_open_requests(
 
     This runs two jobs: one counts, one calls. A failed call is kept with its error.
     """
+    return call_open_requests(frame, make_corrector, path, tokens, on_error, retry).calls
+
+
+def call_open_requests(
+    frame: DataFrame,
+    make_corrector: Callable[[], Corrector],
+    path: str,
+    tokens: str = "tokens",
+    on_error: str = "column",
+    retry: bool = True,
+) -> CallTotals:
+    """``answer_open_requests`` with the totals of the calls of this run."""
     asked = open_requests(frame, path, tokens, retry)
     n = asked.count()
     if not n:
-        return 0
+        return CallTotals()
     spread = asked.select("key", F.col(tokens).alias("tokens")).repartition(-(-n // TASK_REQUESTS), "key")
-    answered = correct_with(spread, make_corrector, "tokens", "answer", on_error).select("key", "tokens", "answer", "error")
+    answered = correct_with(spread, make_corrector, "tokens", "answer", on_error, with_usage=True)
+    seen = Observation()
+    answered = answered.observe(seen, F.count("*").alias("calls"), F.count("error").alias("failed"), *total_columns())
     answered.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
-    return n
+    return CallTotals(**seen.get)
 
 
 def correct_stored(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,6 +13,7 @@ from satzwerk.functions import fixed, text as tx
 from satzwerk.operators.lexicon import Rewrites
 from satzwerk.operators.reference import ReferenceTable, lookup_tokens
 from satzwerk.operators.settled import settled
+from satzwerk.operators.usage import USAGE_TYPE
 from satzwerk.operators.workers import once_per_worker, worker_key
 
 
@@ -148,33 +150,50 @@ Corrector = Callable[[list[str]], list[str]]
 TextCorrector = Callable[[str], str]
 
 
+class Answered(NamedTuple):
+    """What a backend returns that also reports the usage of the call.
+
+    ``usage`` may hold prompt_tokens, completion_tokens, total_tokens and cost.
+    """
+
+    value: list[str] | str
+    usage: Mapping[str, float | None] | None = None
+
+
 def identity_corrector() -> Corrector:
     """Builds a corrector that returns what it gets."""
     return list
 
 
 def _apply_backend(
-    frame: DataFrame, make_backend: Callable, column: str, out: str, on_error: str
+    frame: DataFrame, make_backend: Callable, column: str, out: str, on_error: str, with_usage: bool = False
 ) -> DataFrame:
-    """Run a backend over one column in Arrow batches; adds ``out`` and ``error``."""
+    """Run a backend over one column in Arrow batches; adds ``out``, ``error`` and, if asked for, the usage."""
     if on_error not in ("column", "raise"):
         raise ValueError("on_error must be 'column' or 'raise'")
     kind = frame.schema[column].dataType
     is_array = isinstance(kind, ArrayType)
-    schema = StructType(
-        [field for field in frame.schema.fields if field.name not in (out, "error")]
-    ).add(out, kind).add("error", StringType())
+    reported = [(field.name, field.dataType) for field in StructType.fromDDL(USAGE_TYPE)] if with_usage else []
+    added = [(out, kind), ("error", StringType()), *reported]
+    schema = StructType([field for field in frame.schema.fields if field.name not in dict(added)])
+    for name, type_ in added:
+        schema = schema.add(name, type_)
     names = schema.fieldNames()
 
     def call(backend: Callable, value):
+        usage: Mapping = {}
         if value is None:
-            return None, None
+            return None, None, *(None for _ in reported)
         try:
-            return (list(backend(list(value))) if is_array else backend(value)), None
+            answer, failed = backend(list(value) if is_array else value), None
+            if isinstance(answer, Answered):
+                answer, usage = answer.value, answer.usage or {}
+            answer = list(answer) if is_array else answer
         except Exception as failure:
             if on_error == "raise":
                 raise
-            return None, f"{type(failure).__name__}: {failure}"
+            answer, failed = None, f"{type(failure).__name__}: {failure}"
+        return answer, failed, *(usage.get(name) for name, _ in reported)
 
     key = worker_key()
 
@@ -184,8 +203,8 @@ def _apply_backend(
             results = [call(backend, value) for value in batch[column]]
             yield batch.assign(
                 **{
-                    out: pd.Series([r[0] for r in results], index=batch.index, dtype="object"),
-                    "error": pd.Series([r[1] for r in results], index=batch.index, dtype="object"),
+                    name: pd.Series([r[place] for r in results], index=batch.index, dtype="object")
+                    for place, (name, _) in enumerate(added)
                 }
             )[names]
 
@@ -198,13 +217,16 @@ def correct_with(
     tokens: str = "tokens",
     out: str = "corrected_tokens",
     on_error: str = "column",
+    with_usage: bool = False,
 ) -> DataFrame:
     """Correct token lists with any callable, built once per Python worker.
 
     A failed call leaves NULL and its message in ``error``; with
-    ``on_error="raise"`` it ends the job.
+    ``on_error="raise"`` it ends the job. ``with_usage`` adds what the call reports
+    by ``Answered``: prompt_tokens, completion_tokens, total_tokens and cost, NULL
+    where it reports nothing.
     """
-    return _apply_backend(frame, make_corrector, tokens, out, on_error)
+    return _apply_backend(frame, make_corrector, tokens, out, on_error, with_usage)
 
 
 def correct_whole_text(

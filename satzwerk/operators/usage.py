@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from satzwerk.functions import text as tx
 
+#: What a call may report; NULL where it does not.
+USAGE_TYPE = "prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, cost double"
 
-def usage_totals(usage: DataFrame) -> DataFrame:
-    """One row of sums over ``usage``; missing numbers count as zero."""
+
+def total_columns() -> list[Column]:
+    """The sums of all usage columns; missing numbers count as zero."""
 
     def total(column: str, kind: str) -> Column:
         zero = F.lit(0).cast(kind)
         return F.coalesce(F.sum(F.coalesce(F.col(column), zero)), zero).alias(column)
 
-    return usage.agg(
-        total("prompt_tokens", "bigint"),
-        total("completion_tokens", "bigint"),
-        total("total_tokens", "bigint"),
-        total("cost", "double"),
-    )
+    return [total(*field.split(" ")) for field in USAGE_TYPE.split(", ")]
+
+
+def usage_totals(usage: DataFrame) -> DataFrame:
+    """One row of sums over ``usage``; missing numbers count as zero."""
+    return usage.agg(*total_columns())
 
 
 def cost_info(usage: DataFrame) -> DataFrame:

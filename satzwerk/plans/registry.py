@@ -182,6 +182,29 @@ def answer_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _reporting_corrector() -> correction.Corrector:
+    """Returns what it gets and reports usage; a cost only for an even number of tokens."""
+
+    def run(tokens: list[str]) -> correction.Answered:
+        prompt, completion = len(tokens), sum(len(token) > 3 for token in tokens)
+        told = {"prompt_tokens": prompt, "completion_tokens": completion, "total_tokens": prompt + completion}
+        return correction.Answered(tokens, told if prompt % 2 else told | {"cost": prompt * COST_PER_TOKEN})
+
+    return run
+
+
+def usage_of_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls and usage of three runs over all documents (German ones, all, all again) and of their store."""
+    texts, path = _by_language(spark, folder), scratch_path(spark, "answers")
+    runs = [
+        (name, *answers.call_open_requests(asked, _reporting_corrector, path))
+        for name, asked in (("1 german", texts.where("lang = 'de'")), ("2 all", texts), ("3 again", texts))
+    ]
+    kept = answers.read_usage(spark, path)
+    store = kept.agg(F.lit("store").alias("run"), F.count("*").alias("calls"), F.lit(0).cast("bigint").alias("failed"), *us.total_columns())
+    return spark.createDataFrame(runs, store.schema).unionByName(store)
+
+
 def usage(spark: SparkSession, folder: str) -> DataFrame:
     """Usage of one call per document; only German calls report a cost."""
     table = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
@@ -324,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "correct_unknown": correct_unknown,
     "answer_store": answer_store,
     "dedupe_requests": dedupe_requests,
+    "usage_of_calls": usage_of_calls,
     "usage_totals": lambda s, f: us.usage_totals(usage(s, f)),
     "cost_info": lambda s, f: us.cost_info(usage(s, f)),
     "examples": examples,

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from satzwerk.operators import answers as an, correction as co, spelling as sp
+from satzwerk.operators import answers as an, correction as co, spelling as sp, usage
 from satzwerk.operators.lexicon import Rewrites
 
 
@@ -141,3 +141,66 @@ def test_no_store_and_no_texts(spark, tmp_path):
     assert an.read_answers(spark, str(tmp_path / "none")).collect() == []
     assert an.answer_open_requests(frame_of(spark), counting(tmp_path), str(tmp_path / "none")) == 0
     assert an.answer_open_requests(spark.createDataFrame([(1, None)], "text_id bigint, tokens array<string>"), counting(tmp_path), str(tmp_path / "none")) == 0
+
+
+# --- usage of calls ---------------------------------------------------------
+
+
+def reporting(folder, fails=()):
+    """Reports the number of tokens, a cost for lists that begin with ``paid``, and nothing for those with ``mute``."""
+    make = counting(folder, fails)
+
+    def build():
+        run = make()
+
+        def call(tokens):
+            answer = run(tokens)
+            if tokens[:1] == ["mute"]:
+                return answer
+            told = {"prompt_tokens": len(tokens), "completion_tokens": 1, "total_tokens": len(tokens) + 1, "model": "x"}
+            return co.Answered(answer, told | {"cost": 0.5} if tokens[:1] == ["paid"] else told)
+
+        return call
+
+    return build
+
+
+def test_usage_is_that_of_the_calls_of_a_run(spark, tmp_path):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    frame = frame_of(spark, ["paid", "b"], ["paid", "b"], ["c"], ["mute"], [], ["bad"], None).repartition(3)
+    first = an.call_open_requests(frame, reporting(calls, fails=("bad",)), store)
+    assert first == an.CallTotals(calls=5, failed=1, prompt_tokens=3, completion_tokens=3, total_tokens=6, cost=0.5)
+    assert len(list(calls.iterdir())) == first.calls
+    again = an.call_open_requests(frame, reporting(calls), store)
+    assert again == an.CallTotals(calls=1, prompt_tokens=1, completion_tokens=1, total_tokens=2)
+    assert an.call_open_requests(frame, reporting(calls), store) == an.CallTotals()
+    [kept] = usage.usage_totals(an.read_usage(spark, store)).collect()
+    assert tuple(kept) == tuple(x + y for x, y in zip(first[2:], again[2:], strict=True))
+    by_key = {r.key: r for r in an.read_usage(spark, store).where("cost IS NULL AND total_tokens IS NULL").collect()}
+    assert len(by_key) == 2  # the call that failed and the one that reports nothing
+
+
+def test_usage_of_a_killed_run_counts_each_answer_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(an, "TASK_REQUESTS", 10)
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    frame = frame_of(spark, *[[f"t{n}"] * (n % 7) for n in range(1, 200)], ["bad"])
+    distinct = {tuple(r.tokens) for r in frame.collect()}
+    with pytest.raises(Exception, match="no answer"):
+        an.call_open_requests(frame, reporting(calls, fails=("bad",)), store, on_error="raise")
+    left = an.open_requests(frame, store).count()
+    assert an.call_open_requests(frame, reporting(calls), store).calls == left
+    [kept] = usage.usage_totals(an.read_usage(spark, store)).collect()
+    assert (kept.prompt_tokens, kept.completion_tokens) == (sum(map(len, distinct)), len(distinct))
+
+
+def test_a_store_without_usage_and_a_plain_call(spark, tmp_path):
+    store = str(tmp_path / "store")
+    old = spark.createDataFrame([("k", ["a"], ["A"], None)], "key string, tokens array<string>, answer array<string>, error string")
+    old.write.parquet(store)
+    assert [tuple(r) for r in an.read_usage(spark, store).collect()] == [("k", None, None, None, None)]
+    assert tuple(usage.usage_totals(an.read_usage(spark, str(tmp_path / "none"))).first()) == (0, 0, 0, 0.0)
+    rows = co.correct_with(frame_of(spark, ["a", "b"], None), reporting(tmp_path), with_usage=True).orderBy("text_id").collect()
+    assert [(r.corrected_tokens, r.error, r.prompt_tokens, r.cost) for r in rows] == [(["A", "B"], None, 2, None), (None, None, None, None)]
+    assert co.correct_with(frame_of(spark, ["a"]), reporting(tmp_path)).columns == ["text_id", "tokens", "corrected_tokens", "error"]
