@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import partial, reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -17,24 +18,59 @@ from satzwerk.operators.usage import USAGE_TYPE
 from satzwerk.operators.workers import once_per_worker, worker_key
 
 
-def _first_token(table: ReferenceTable) -> list[str] | None:
-    """The first tokens of all rules of a small table; None if it is not at hand."""
-    return sorted({key.split(" ")[0] for key in table.rows}) if table.how == "inline" else None
+def _first_token(table: ReferenceTable) -> list[str]:
+    """The first tokens of all rules of a small table."""
+    return sorted({key.split(" ")[0] for key in table.rows})
 
 
-def _windows(tokens: Column, n: int, first: list[str] | None) -> Column:
+def _windows(tokens: Column, n: int, starts: Callable[[Column], Column], *more: Column) -> Column:
     """At each place the ``n`` tokens from there on as one key, NULL where the text ends before.
 
-    With ``first``, the tokens that a rule can begin with, most places need no key.
+    ``starts`` tests an entry of the tokens (``t0``) and ``more``; the places where no
+    rule begins need no key.
     """
     moved = [F.slice(tokens, F.lit(k + 1), F.greatest(F.array_size(tokens) - k, F.lit(0))) for k in range(n)]
 
     def key(entry: Column) -> Column:
         parts = [entry[f"t{k}"] for k in range(n)]
-        joined = F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts))
-        return joined if first is None else F.when(parts[0].isin(*first), joined)
+        return F.when(starts(entry) & parts[-1].isNotNull(), F.concat_ws(" ", *parts))
 
-    return F.transform(F.arrays_zip(*(part.alias(f"t{k}") for k, part in enumerate(moved))), key)
+    return F.transform(F.arrays_zip(*(part.alias(f"t{k}") for k, part in enumerate(moved)), *more), key)
+
+
+def _of_length(n: int, key: Column) -> Column:
+    """The key of a rule among those of all lengths."""
+    return F.concat(F.lit(f"{n} "), key)
+
+
+def _joined_rules(frame: DataFrame, tables: Mapping[int, ReferenceTable], tokens: str) -> DataFrame:
+    """Add ``_rule{n}`` for rules of tables that need a join.
+
+    The first tokens of all rules are looked up at first, with the lengths of the rules
+    that begin so; only windows of these lengths are made there, and all of them are
+    looked up together. So rows move twice, however many lengths there are.
+    """
+    how = "shuffled" if any(table.how == "shuffled" for table in tables.values()) else "broadcast"
+    if list(tables) == [1]:
+        return lookup_tokens(frame, tokens, tables[1], "_rule1")
+    begins = [
+        table.frame.select(F.substring_index("key", " ", 1).alias("key"), F.lit(1 << place).alias("bit"))
+        for place, table in enumerate(tables.values())
+    ]
+    first = reduce(DataFrame.unionAll, begins).groupBy("key").agg(F.bit_or("bit").alias("value"))
+    frame = lookup_tokens(frame, tokens, ReferenceTable("bigint", how, frame=first), "_starts")
+    windows, rules = [], []
+    for place, (n, table) in enumerate(tables.items()):
+        begun = F.col("_starts").alias("starts")
+        keys = _windows(F.col(tokens), n, lambda entry, place=place: entry["starts"].bitwiseAND(1 << place) != 0, begun)
+        windows.append(F.transform(keys, partial(_of_length, n)))
+        rules.append(table.frame.select(_of_length(n, F.col("key")).alias("key"), "value"))
+    frame = settled(frame, _keys=F.concat(*windows)).drop("_starts")
+    together = ReferenceTable(rules[0].schema["value"].dataType.simpleString(), how, frame=reduce(DataFrame.unionAll, rules))
+    frame = lookup_tokens(frame, "_keys", together, "_hits")
+    size = F.array_size(tokens)
+    parts = {f"_rule{n}": F.slice("_hits", size * place + 1, size) for place, n in enumerate(tables)}
+    return frame.withColumns(parts).drop("_keys", "_hits")
 
 
 def _chosen_rules(found: list[Column], lengths: list[int]) -> Column:
@@ -78,11 +114,17 @@ def rewrite_tokens(frame: DataFrame, rewrites: Rewrites, tokens: str, out: str)
     columns = [f"_rule{n}" for n in lengths]
     for n, column in zip(lengths, columns, strict=True):
         table = rewrites.tables[n]
+        if table.how != "inline":
+            continue
         if n == 1:
             frame = lookup_tokens(frame, tokens, table, column)
             continue
         first = _first_token(table)
-        frame = lookup_tokens(settled(frame, _keys=_windows(F.col(tokens), n, first)), "_keys", table, column)
+        keys = _windows(F.col(tokens), n, lambda entry, first=first: entry["t0"].isin(*first))
+        frame = lookup_tokens(settled(frame, _keys=keys), "_keys", table, column)
+    joined = {n: rewrites.tables[n] for n in lengths if rewrites.tables[n].how != "inline"}
+    if joined:
+        frame = _joined_rules(frame, joined, tokens)
     found = [F.col(column) for column in columns]
     entries = F.arrays_zip(F.col(tokens).alias("token"), *found, _chosen_rules(found, lengths).alias("sign"))
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from satzwerk.functions import fixed
-from satzwerk.operators.reference import ReferenceTable
+from satzwerk.operators.reference import ReferenceTable, table_bytes
 
 TAG_TYPE = "struct<lemma:string,upos:string,tense:string>"
 LEXICON_SCHEMA = (
@@ -304,20 +304,18 @@ class Rewrites:
         """A table ``n INT, src ARRAY<STRING>, dst ARRAY<STRING>`` of any size.
 
         Of several rules for the same tokens the one of the smallest ``dst`` counts.
-        The numbers of tokens that occur come to the driver.
+        The numbers of tokens that occur come to the driver, with the bytes of their rules.
         """
-        rules = frame.where("size(src) > 0 AND dst IS NOT NULL").withColumn("n", F.array_size("src"))
+        rules = frame.where("size(src) > 0 AND dst IS NOT NULL").select(
+            F.array_size("src").alias("n"), F.array_join("src", " ").alias("key"), F.col("dst").alias("value")
+        )
+        best = rules.groupBy("n", "key").agg(F.min("value").alias("value"))
+        sizes = {row.n: row.bytes for row in best.groupBy("n").agg(table_bytes().alias("bytes")).collect()}
 
         def table(n: int) -> ReferenceTable:
-            rows = rules.where(F.col("n") == n).select(
-                F.array_join("src", " ").alias("key"), F.col("dst").alias("value")
-            )
-            return ReferenceTable.from_frame(
-                rows.groupBy("key").agg(F.min("value").alias("value")), **limits
-            )
-
-        lengths = sorted(row.n for row in rules.select("n").distinct().collect())
-        return Rewrites({n: table(n) for n in lengths})
+            return ReferenceTable.of_size(best.where(F.col("n") == n).select("key", "value"), sizes[n], **limits)
+
+        return Rewrites({n: table(n) for n in sorted(sizes)})
 
 
 def examples_frame(spark: SparkSession) -> DataFrame:

@@ -204,3 +204,16 @@ def test_a_store_without_usage_and_a_plain_call(spark, tmp_path):
     rows = co.correct_with(frame_of(spark, ["a", "b"], None), reporting(tmp_path), with_usage=True).orderBy("text_id").collect()
     assert [(r.corrected_tokens, r.error, r.prompt_tokens, r.cost) for r in rows] == [(["A", "B"], None, 2, None), (None, None, None, None)]
     assert co.correct_with(frame_of(spark, ["a"]), reporting(tmp_path)).columns == ["text_id", "tokens", "corrected_tokens", "error"]
+
+
+def test_rules_of_all_lengths_are_looked_up_together(spark):
+    rows = [(1, ["a", "b", "c", "d"]), (1, ["a", "b", "x", "d"]), (None, ["d"]), (2, []), (3, None), (1, ["a", "b", "c", "d"])]
+    texts = spark.createDataFrame(rows, "text_id bigint, tokens array<string>")
+    rules = [(1, ["d"], ["D"]), (2, ["a", "b"], ["AB"]), (3, ["a", "b", "c"], ["ABC"]), (6, list("abcdef"), ["no"])]
+    frame = spark.createDataFrame(rules, "n int, src array<string>, dst array<string>")
+    wanted = sorted([(1, "ABC D"), (1, "AB x D"), (None, "D"), (2, ""), (3, None), (1, "ABC D")], key=repr)
+    for limits in ({"inline_bytes": 0}, {"inline_bytes": 0, "broadcast_bytes": 0}):
+        done = co.rewrite_tokens(texts, Rewrites.from_frame(frame, **limits), "tokens", "out")
+        assert sorted(((r.text_id, r.out and " ".join(r.out) if r.out else (None if r.out is None else "")) for r in done.collect()), key=repr) == wanted
+        # Two look-ups, of first tokens and of windows, however many lengths the rules have.
+        assert done._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 2
