@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import partial, reduce
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from satzwerk.functions import fixed, text as tx
@@ -188,6 +189,9 @@ def correct_tokens(
     return settled(frame, **{out: F.col(out)})
 
 
+#: Rows of an Arrow batch that a backend takes at once, in bytes.
+SLICE_BYTES = 4 << 20
+
 Corrector = Callable[[list[str]], list[str]]
 TextCorrector = Callable[[str], str]
 
@@ -207,6 +211,13 @@ def identity_corrector() -> Corrector:
     return list
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of about ``SLICE_BYTES``, so that few of them are Python objects at a time."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def _apply_backend(
     frame: DataFrame, make_backend: Callable, column: str, out: str, on_error: str, with_usage: bool = False
 ) -> DataFrame:
@@ -239,18 +250,19 @@ def _apply_backend(
 
     key = worker_key()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {field.name: field.type for field in to_arrow_schema(StructType([schema[name] for name, _ in added]))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = once_per_worker(make_backend, key)
         for batch in batches:
-            results = [call(backend, value) for value in batch[column]]
-            yield batch.assign(
-                **{
-                    name: pd.Series([r[place] for r in results], index=batch.index, dtype="object")
-                    for place, (name, _) in enumerate(added)
+            for part in slices(batch):
+                results = [call(backend, value) for value in part.column(column).to_pylist()]
+                made = {
+                    name: pa.array([r[place] for r in results], kinds[name], from_pandas=True) for place, (name, _) in enumerate(added)
                 }
-            )[names]
+                yield pa.RecordBatch.from_arrays([made[name] if name in made else part.column(name) for name in names], names=names)
 
-    return frame.mapInPandas(run, schema)
+    return frame.mapInArrow(run, schema)
 
 
 def correct_with(
