@@ -12,3 +12,18 @@ def test_backends_take_a_batch_in_slices(monkeypatch):
     parts = list(co.slices(batch))
     assert max(part.nbytes for part in parts) < 2000
     assert [row for part in parts for row in part.column("tokens").to_pylist()] == batch.column("tokens").to_pylist()
+
+
+def test_pairs_searched_together_are_few(monkeypatch):
+    sizes, band = [], al._band
+
+    def seen(pairs, low, high, kept, whole=None):
+        sizes.append(len(pairs) * max(len(a) for a, _ in pairs) * (low + high + 1))
+        return band(pairs, low, high, kept, whole)
+
+    monkeypatch.setattr(al, "SIDE_CELLS", 10_000)
+    monkeypatch.setattr(al, "_band", seen)
+    a = np.arange(40)
+    found = al.aligned([(a, np.r_[a[:20], 99, a[22:], 7])] * 300)
+    assert max(sizes) <= 10_000 and len(sizes) > 1
+    assert len({tuple(edits) for edits in found}) == 1
