@@ -27,3 +27,19 @@ def test_pairs_searched_together_are_few(monkeypatch):
     found = al.aligned([(a, np.r_[a[:20], 99, a[22:], 7])] * 300)
     assert max(sizes) <= 10_000 and len(sizes) > 1
     assert len({tuple(edits) for edits in found}) == 1
+
+
+def test_open_requests_are_counted_by_their_keys(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([(1, ["a", 'b"']), (2, ["a", 'b"']), (3, []), (4, [None]), (5, None)], "text_id bigint, tokens array<string>")
+    plans, count = [], type(frame).count
+
+    def seen(self):
+        plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return count(self)
+
+    monkeypatch.setattr(type(frame), "count", seen)
+    store = str(tmp_path / "store")
+    assert [an.answer_open_requests(frame, co.identity_corrector, store) for _ in range(2)] == [3, 0]
+    assert len(plans) == 2 and not any("n_texts" in plan for plan in plans)
+    kept = {tuple(r.tokens) for r in spark.read.parquet(store).collect()}
+    assert kept == {("a", 'b"'), (), (None,)}
