@@ -43,3 +43,21 @@ def test_open_requests_are_counted_by_their_keys(spark, tmp_path, monkeypatch):
     assert len(plans) == 2 and not any("n_texts" in plan for plan in plans)
     kept = {tuple(r.tokens) for r in spark.read.parquet(store).collect()}
     assert kept == {("a", 'b"'), (), (None,)}
+
+
+def test_offsets_need_no_window_for_ids_that_stand_once(spark):
+    rows = [(1, " Ja! Du  da."), (2, ""), (None, "x"), (3, "Er. Ich"), (3, "Er. Ich"), (4, None)]
+    frame = spark.createDataFrame(rows, "text_id bigint, text string")
+    found = sorted((tuple(r) for r in tk.token_offsets(frame).collect() if r.text_id in (1, None)), key=repr)
+    assert found == sorted(
+        [
+            (1, 0, 0, 0, "Ja", 1, 3), (1, 1, 0, 1, "!", 3, 4), (1, 2, 1, 0, "Du", 5, 7), (1, 3, 1, 1, "da", 9, 11),
+            (1, 4, 1, 2, ".", 11, 12), (None, 0, 0, 0, "x", 0, 1),
+        ],
+        key=repr,
+    )
+    once = tk._offsets_once(frame.toDF("_id", "_text"))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    both = sorted(r.end_char for r in tk.token_offsets(frame).where("text_id = 3").collect())
+    assert both == [2, 4, 5, 6, 10, 14]
