@@ -27,8 +27,8 @@ from pyspark.sql.types import StructType
 # The literal travels with every task.
 INLINE_BYTES = 1024 * 1024
 BROADCAST_BYTES = 128 * 1024 * 1024
-# Rows that share their distinct tokens in a join; a block of a 6 GB corpus has 1.5 MB of text.
-BLOCKS = 4096
+# Rows that share their distinct tokens in a join; a block of a 6 GB corpus has 6 MB of text.
+BLOCKS = 1024
 
 
 @dataclass(frozen=True)
