@@ -49,7 +49,8 @@ def _joined_rules(frame: DataFrame, tables: Mapping[int, ReferenceTable], tokens
 
     The first tokens of all rules are looked up at first, with the lengths of the rules
     that begin so; only windows of these lengths are made there, and all of them are
-    looked up together. So rows move twice, however many lengths there are.
+    looked up together. The first look-up is planned twice, for the rows and for what they
+    ask the second one, however many lengths there are.
     """
     how = "shuffled" if any(table.how == "shuffled" for table in tables.values()) else "broadcast"
     if list(tables) == [1]:
