@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -171,23 +171,27 @@ class Trie:
         """``phrases``: distinct rows of numbers above 0; the state of row n accepts n."""
         self.digits = max(1, (int(phrases.max(initial=0)).bit_length() + 7) // 8)
         self.words = phrases.shape[1]
-        bytes_ = [(phrases[:, k] >> (8 * d)) & 255 for k in range(self.words) for d in range(self.digits)[::-1]]
-        size = 8192 + 2 * len(phrases) * self.digits
+        size = 8192 + 2 * len(phrases)
         self.base, self.check = np.zeros(size, dtype=np.int32), np.full(size, -1, dtype=np.int32)
         self._low, self._top = 256, 256  # where gaps are looked for, and where all is empty
         self.check[0] = -2  # the root's own place
-        state = np.zeros(len(phrases), dtype=np.int64)
-        for level in bytes_:
-            edges, of_row = np.unique(state << 8 | level, return_inverse=True)
-            state = self._place(edges >> 8, edges & 255)[of_row]
-        self.accept = np.full(len(self.base), -1, dtype=np.int32)
-        self.accept[state] = np.arange(len(phrases))
+        state = np.zeros(len(phrases), dtype=np.int32)
+        for k in range(self.words):
+            for digit in range(self.digits)[::-1]:
+                edges = state.astype(np.int64) << 8 | phrases[:, k] >> (8 * digit) & 255
+                edges, of_row = np.unique(edges, return_inverse=True)
+                of_row = of_row.astype(np.int32)
+                state = self._place((edges >> 8).astype(np.int32), (edges & 255).astype(np.int32))[of_row]
+                del edges, of_row
         end = self._top + 256
-        self.base, self.check, self.accept = self.base[:end], self.check[:end], self.accept[:end]
+        self._fit(end)
+        self.base, self.check = self.base[:end], self.check[:end]
+        self.accept = np.full(end, -1, dtype=np.int32)
+        self.accept[state] = np.arange(len(phrases))
 
     def _fit(self, size: int) -> None:
         if size > len(self.base):
-            more = max(size, 2 * len(self.base)) - len(self.base)
+            more = max(size, len(self.base) * 5 // 4) - len(self.base)
             self.base = np.concatenate([self.base, np.zeros(more, dtype=np.int32)])
             self.check = np.concatenate([self.check, np.full(more, -1, dtype=np.int32)])
 
@@ -200,7 +204,7 @@ class Trie:
         starts = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]]) if len(parents) else np.zeros(0, dtype=np.int64)
         counts = np.diff(np.r_[starts, len(parents)])
         offset = symbols - np.repeat(symbols[starts], counts)
-        slots = np.zeros(len(parents), dtype=np.int64)
+        slots = np.zeros(len(parents), dtype=np.int32)
 
         def settle(nodes: np.ndarray, at: np.ndarray) -> None:
             rows = _rows(starts[nodes], counts[nodes])
@@ -217,8 +221,9 @@ class Trie:
             rows = _rows(starts[left], counts[left])
             end = max(self._top, self._low + 4 * len(rows)) + 1024
             self._fit(end + 8192)
-            free = self._low + np.flatnonzero(self.check[self._low : end] == -1)
-            at = chosen.choice(free, len(left), replace=len(free) < len(left))
+            free = np.flatnonzero(self.check[self._low : end] == -1).astype(np.int32)
+            at = self._low + free[chosen.integers(0, len(free), len(left))]
+            del free
             wanted = np.repeat(at, counts[left]) + offset[rows]
             first = np.zeros(len(rows), dtype=bool)
             first[np.unique(wanted, return_index=True)[1]] = True
@@ -374,39 +379,67 @@ def candidates(blocks: DataFrame, words: list[str], bits: int, least: int) -> Da
     return by_share.mapInArrow(join, ", ".join(f"{w} int" for w in words))
 
 
-def portions(phrases: DataFrame, words: list[str], size: int) -> Iterator[tuple[int, Trie]]:
-    """The phrases, numbered from 1, as tries of at most ``size``, with the number before the first."""
+def _phrase_rows(phrases: DataFrame, words: list[str], start: int, size: int) -> np.ndarray:
+    rows = phrases.where(F.col("id").between(start + 1, start + size)).orderBy("id").select(*words).toArrow()
+    found = np.empty((rows.num_rows, len(words)), dtype=np.int32)
+    for k, word in enumerate(words):
+        found[:, k] = rows[word].to_numpy()
+    return found
+
+
+def portions(phrases: DataFrame, words: list[str], size: int) -> Iterator[tuple[int, Broadcast]]:
+    """The phrases, numbered from 1, as tries of at most ``size`` that all tasks see, with the number before the first.
+
+    A trie is destroyed when the next is asked for, and the driver keeps none.
+    """
     n = phrases.agg(F.max("id")).first()[0] or 0
     for start in range(0, n, size):
-        rows = phrases.where(F.col("id").between(start + 1, start + size)).orderBy("id").select(*words).toArrow()
-        yield start, Trie(np.stack([rows[w].to_numpy() for w in words], axis=1).astype(np.int64))
+        sent = phrases.sparkSession.sparkContext.broadcast(Trie(_phrase_rows(phrases, words, start, size)))
+        yield start, sent
+        sent.destroy()
+
 
+def count_phrases(blocks: DataFrame, phrases: DataFrame, words: list[str], size: int, least: int = 1) -> DataFrame:
+    """(id, f): how often each phrase stands in the blocks, if ``least`` times or more.
 
-def count_phrases(blocks: DataFrame, phrases: DataFrame, words: list[str], size: int) -> DataFrame:
-    """(id, f): how often each phrase stands in the blocks."""
+    A task sends its counts as compressed arrays, one for each ``SLICE`` numbers.
+    """
     spark, counted = blocks.sparkSession, None
-    for start, trie in portions(phrases, words, size):
-        sent = spark.sparkContext.broadcast(trie)
+    sent_type, sum_type = "slice int, counts binary", "id bigint, f bigint"
+    slices, found = (to_arrow_schema(StructType.fromDDL(t)) for t in (sent_type, sum_type))
+    for start, sent in portions(phrases, words, size):
 
-        def run(batches: Iterable[pa.RecordBatch], sent=sent, start=start) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(size + 1, dtype=np.int64)
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(size, dtype="<i8")
             for *_, ids, _ in _blocks(batches):
                 counts = np.bincount(sent.value.walk(ids)[1])
                 sums[: len(counts)] += counts
-            some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(some + start + 1, pa.int64()), pa.array(sums[some], pa.int64())], names=["id", "f"])
-
-        part = saved(blocks.mapInArrow(run, "id bigint, f bigint").groupBy("id").agg(F.sum("f").alias("f")), "phrase-counts")
-        sent.destroy()
+            for at in range(0, size, SLICE):
+                part = sums[at : at + SLICE]
+                if part.any():
+                    yield pa.RecordBatch.from_pylist([{"slice": at // SLICE, "counts": _pack(part)}], schema=slices)
+
+        def add(batches: Iterable[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    part = _unpack(data, "<i8")
+                    sums[number] = sums[number] + part if number in sums else part
+            for number, held in sums.items():
+                some = np.flatnonzero(held >= least)
+                columns = [pa.array(some + (start + number * SLICE + 1), pa.int64()), pa.array(held[some], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=found)
+
+        part = saved(blocks.mapInArrow(run, sent_type).repartition("slice").mapInArrow(add, sum_type), "phrase-counts")
         counted = part if counted is None else counted.unionByName(part)
-    return spark.createDataFrame([], "id bigint, f bigint") if counted is None else counted
+    return spark.createDataFrame([], sum_type) if counted is None else counted
 
 
 def with_states(blocks: DataFrame, phrases: DataFrame, words: list[str], size: int) -> DataFrame:
     """The blocks with, at each position, the number of the phrase that starts there, or 0."""
-    spark, arrow, some = blocks.sparkSession, to_arrow_schema(StructType.fromDDL(IDS_TYPE)), False
-    for start, trie in portions(phrases, words, size):
-        sent, old = spark.sparkContext.broadcast(trie), blocks
+    arrow, some = to_arrow_schema(StructType.fromDDL(IDS_TYPE)), False
+    for start, sent in portions(phrases, words, size):
+        old = blocks
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent, start=start) -> Iterator[pa.RecordBatch]:
             for block, lang, ids, states in _blocks(batches):
@@ -416,7 +449,6 @@ def with_states(blocks: DataFrame, phrases: DataFrame, words: list[str], size: i
                 yield pa.RecordBatch.from_pylist([{"block": block, "lang": lang, "ids": _pack(ids), "states": _pack(states)}], schema=arrow)
 
         blocks = saved(old.mapInArrow(run, IDS_TYPE), "phrase-states")
-        sent.destroy()
         if some:
             forget(old)
         some = True
@@ -442,7 +474,7 @@ def counted_phrases(docs: DataFrame, least: int, size: int) -> tuple[DataFrame,
 
     def frequent(states: DataFrame, spread: list[str]) -> DataFrame:
         asked = numbered(candidates(states, spread, bits, least), "phrase-candidates")
-        found = asked.join(count_phrases(ids, asked, spread, size), "id").where(F.col("f") >= least).drop("id")
+        found = asked.join(count_phrases(ids, asked, spread, size, least), "id").drop("id")
         return numbered(found, "phrases")
 
     pairs = frequent(ids, ["w1", "w2"])

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from satzwerk.llm import phrases
 
@@ -101,3 +102,28 @@ def test_scores_stay_exact_beyond_64_bits(spark):
     wide = "CAST({} AS DECIMAL(16, 0))".format
     found = spark.sql(f"SELECT (1000000 * {wide(a)} * {wide(a)}) DIV ({wide(l)} * {wide(r)})").first()[0]
     assert found == 1000000 * a * a // (l * r)
+
+
+def test_only_frequent_phrases_come_back(spark):
+    text = " ".join(f"w{i % 97} w{i % 89}" for i in range(3000))
+    blocks = phrases.pack_blocks(spark.createDataFrame([("de", text)] * 6, "lang string, text string").repartition(6))
+    words = phrases.numbered(blocks.where("codes IS NULL").groupBy("lang", "word").agg(F.sum("n").alias("f")), "test-words")
+    ids = phrases.number_words(blocks, words.select("lang", "word", "id"))
+    pairs = phrases.numbered(phrases.candidates(ids, ["w1", "w2"], 16, 1), "test-pairs")
+    all_counts = {r.id: r.f for r in phrases.count_phrases(ids, pairs, ["w1", "w2"], 1 << 20).collect()}
+    assert len(all_counts) == pairs.count() > 4000
+    least = sorted(all_counts.values())[-20]
+    found = {r.id: r.f for r in phrases.count_phrases(ids, pairs, ["w1", "w2"], 1000, least).collect()}
+    assert found == {i: f for i, f in all_counts.items() if f >= least}
+
+
+def test_the_driver_holds_one_trie_at_a_time(spark):
+    known = spark.range(1, 301).selectExpr("id", "CAST(id AS INT) AS w1", "CAST(id + 1 AS INT) AS w2")
+    seen = []
+    for start, sent in phrases.portions(known, ["w1", "w2"], 100):
+        assert sent.value.walk(np.array([start + 5, start + 6], dtype=np.int32))[1].tolist() == [4]
+        seen.append(sent)
+    assert len(seen) == 3
+    for sent in seen:  # all are destroyed
+        with pytest.raises(Exception):
+            spark.sparkContext.parallelize([0], 1).map(lambda _, sent=sent: sent.value.words).collect()
