@@ -11,8 +11,11 @@ holds them, and a lost task writes its file again.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -152,6 +155,12 @@ def _plain_end(core: str) -> bool:
     return "" < core[-1:] < "\u0250" and core[-1].isalpha() and core[-1].lower()[-1].isalpha()
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned numbers of 4 bytes."""
+    few = array("I", ids)  # for a few numbers quicker than an array of numpy
+    return few.tobytes() if few.itemsize == 4 and sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
+
+
 class _Stretches(dict):
     """The ids of stretches between white space, each encoded once.
 
@@ -166,11 +175,11 @@ class _Stretches(dict):
     def __missing__(self, stretch: str) -> bytes:
         ids = self.old.get(stretch)
         if ids is None:
-            core = stretch.rstrip(MARKS)
+            core = stretch if stretch[-1:].isalpha() else stretch.rstrip(MARKS)
             if core != stretch and _plain_end(core):  # a token never holds both
                 ids = self[core] + self[stretch[len(core) :]]
             else:
-                ids = np.array(self.encode(stretch), dtype="<u4").tobytes()
+                ids = _bytes_of(self.encode(stretch))
         if len(stretch) <= 256:
             if len(self) >= MEMO // 2:
                 self.old = dict(self)
@@ -198,6 +207,29 @@ def stretches_of(text: str) -> list[str]:
     return _spaces(text) if _separators(text) else text.split()
 
 
+#: Lower-case letters whose form the normalizers below leave as it is.
+_plain_word = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+#: The signs by which byte-level vocabularies write bytes.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def takes_words_whole(tokenizer) -> bool:
+    """Whether a word of lower-case letters reaches the model of a vocabulary as one piece, by the signs of its bytes."""
+    spec = json.loads(tokenizer.to_str())
+    normalizers = (spec["normalizer"] or {}).get("normalizers", [])
+    pieces = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        [n["type"] for n in normalizers] == ["NFC", "Replace", "Lowercase"]
+        and normalizers[1]["pattern"] == {"Regex": r"\s+"}
+        and [p["type"] for p in pieces] == ["Split", "ByteLevel"]
+        and pieces[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and (pieces[0]["behavior"], pieces[0]["invert"]) == ("Removed", True)
+        and not (pieces[1]["add_prefix_space"] or pieces[1]["use_regex"])
+        and not (spec["truncation"] or spec["padding"] or spec["model"].get("dropout"))
+    )
+
+
 _ready: dict[tuple[str, bool], Callable[[str], bytes]] = {}
 
 
@@ -207,7 +239,8 @@ def word_tokenizer(path: str, by_stretch: bool = True) -> Callable[[str], bytes]
     So a string of a special token in a text is that token, as in the library.
     ``by_stretch`` is for vocabularies of lower case that drop white space and never
     look across it: each stretch between white space is then encoded once and
-    remembered. Texts that may hold a special token's string are left to the library.
+    remembered, words of plain letters by the library's model alone. Texts that may
+    hold a special token's string are left to the library.
     """
     key = (path, by_stretch)
     if key not in _ready:
@@ -219,12 +252,21 @@ def word_tokenizer(path: str, by_stretch: bool = True) -> Callable[[str], bytes]
         def encode(text: str) -> list[int]:
             return tokenizer.encode(text, add_special_tokens=False).ids
 
-        stretches = _Stretches(encode)
+        model, whole = tokenizer.model, takes_words_whole(tokenizer)
+
+        def encode_stretch(stretch: str) -> list[int]:
+            if not (whole and _plain_word(stretch)):
+                return encode(stretch)
+            if not stretch.isascii():
+                stretch = stretch.encode().decode("latin-1").translate(BYTE_SIGNS)
+            return [token.id for token in model.tokenize(stretch)]
+
+        stretches = _Stretches(encode_stretch)
 
         def ids_of(text: str) -> bytes:
             lowered = text.lower()
             if not by_stretch or any(token in lowered for token in special):
-                return np.array(encode(text), dtype="<u4").tobytes()
+                return _bytes_of(encode(text))
             return b"".join(map(stretches.__getitem__, stretches_of(text)))
 
         _ready[key] = ids_of

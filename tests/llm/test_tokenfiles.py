@@ -79,3 +79,15 @@ def test_files_of_the_whole_table(spark, docs, rows, known, tmp_path, monkeypatc
 def test_no_documents(spark, empty, tmp_path):
     tf.write_ids(empty, str(tmp_path / "none"), PATH, 2)
     assert tf.read_digests(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_plain_words_go_to_the_model_alone():
+    tokenizer = tokenizers.Tokenizer.from_file(PATH)
+    assert tf.takes_words_whole(tokenizer)
+    tokenizer.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    assert not tf.takes_words_whole(tokenizer)
+    tokenizer, encode = tokenizers.Tokenizer.from_file(PATH), tf.word_tokenizer(PATH)
+    chosen = random.Random(3)
+    for _ in range(3000):
+        text = "".join(chosen.choices("abcdeßäöüñéÿÄÑ÷µªıİ́ǆ'- 1.", k=chosen.randint(1, 9)))
+        assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
