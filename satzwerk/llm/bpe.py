@@ -16,14 +16,16 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from satzwerk.llm.shared import per_text
+from satzwerk.llm.shared import per_text, portions
 
 #: Entries of the memo of pieces and of pairs, after which a worker starts afresh.
 MEMO = 1 << 19
@@ -231,11 +233,11 @@ def with_ids(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     ids. No shuffle: rows stay where they are and each is encoded whole.
     """
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder(vocabulary, pattern).encode
-        for texts in batches:
-            yield texts.map(lambda x: encode(x) if isinstance(x, str) else b"")
+        for texts in chain.from_iterable(map(portions, batches)):
+            yield pa.array([encode(x or "") for x in texts.to_pylist()], pa.binary())
 
     return docs.withColumn(out, run(F.col(text)))
 

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from satzwerk.llm.shared import forget, saved
 
+#: Rows of a matrix of links that are looked at together.
+ROWS = 256
+
 
 def _state(edges: DataFrame) -> tuple:
     sums = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
@@ -50,10 +53,11 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def spread(linked: np.ndarray) -> np.ndarray:
     """For a symmetric matrix of links the smallest row that each row reaches."""
-    label = np.arange(len(linked))
-    far = len(linked)
+    label = np.arange(len(linked), dtype=np.int32)
+    far = np.int32(len(linked))
     while True:
-        least = np.where(linked, label[None, :], far).min(axis=1, initial=far)
+        some = [np.where(linked[at : at + ROWS], label, far).min(axis=1, initial=far) for at in range(0, len(linked), ROWS)]
+        least = np.concatenate([label[:0], *some])
         new = np.minimum(label, least)
         new = np.minimum(new, new[new])
         if (new == label).all():

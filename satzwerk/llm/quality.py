@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from satzwerk.llm.shared import per_text
+from satzwerk.llm.shared import per_text, portions
 
 LEVEL = 3
 #: Limits of the ratio at lengths in bytes; between them, by the logarithm of the length.
@@ -158,7 +159,7 @@ def keep(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands()
-        for batch in batches:
+        for batch in chain.from_iterable(map(portions, batches)):
             texts = batch.column("text").to_pylist()
             yield batch.filter(pa.array([measure(text, bands)[KEPT] for text in texts], pa.bool_()))
 

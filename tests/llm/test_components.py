@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 
-from satzwerk.llm.components import roots
+import numpy as np
+
+from satzwerk.llm.components import roots, spread
 
 
 def test_against_union_find(spark):
@@ -21,5 +24,17 @@ def test_against_union_find(spark):
     assert found == {i: find(i) for i in list(root) if find(i) != i}
 
 
+def test_a_large_matrix_of_links_takes_little_memory():
+    linked = np.eye(2048, dtype=bool)
+    linked[3:, 3] = linked[3, 3:] = True
+    tracemalloc.start()
+    found = spread(linked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.tolist() == [0, 1, 2, *[3] * 2045]
+    assert peak < 8 << 20
+    assert spread(np.zeros((0, 0), dtype=bool)).tolist() == []
+
+
 def test_no_links(spark):
     assert roots(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
