@@ -10,10 +10,13 @@ those at blanks into words; all is counted per lang.
    frequent (Apriori) and if its bucket is: all candidates are first counted in
    saturating buckets (Park, Chen and Yu 1995), one for two occurrences of frequent
    words. Neither test can lose a frequent phrase. Where the text would need more
-   than ``1 << MOST_BITS`` buckets, they only sieve less and more tries follow.
+   than ``1 << MOST_BITS`` buckets, they only sieve less. What is left meets in shares
+   of the buckets with how often each task has it, and only what is said ``least``
+   times stays, so the tries do not grow with what the buckets let through.
 3. Candidates go into double-array tries (Aoe 1989) over the bytes of their word
    numbers, at most ``PORTION`` in one, and are broadcast one trie after the other.
-   Numpy moves the states of all positions of a block on together, byte by byte,
+   They are in the order of their words, so a position is walked in the trie of its
+   first word alone. Numpy moves the states of all positions of a block on together, byte by byte,
    drops the positions that have left the trie, and counts the accepting states
    by ``bincount``; the counts of all tasks are summed.
 
@@ -171,6 +174,7 @@ class Trie:
         """``phrases``: distinct rows of numbers above 0; the state of row n accepts n."""
         self.digits = max(1, (int(phrases.max(initial=0)).bit_length() + 7) // 8)
         self.words = phrases.shape[1]
+        self.first, self.last = int(phrases[:, 0].min(initial=np.iinfo(np.int32).max)), int(phrases[:, 0].max(initial=0))
         size = 8192 + 2 * len(phrases)
         self.base, self.check = np.zeros(size, dtype=np.int32), np.full(size, -1, dtype=np.int32)
         self._low, self._top = 256, 256  # where gaps are looked for, and where all is empty
@@ -245,11 +249,9 @@ class Trie:
         n = len(ids) - self.words + 1
         if n <= 0 or not len(self.accept):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-        live = ids[:n] > 0
+        at = np.flatnonzero((ids[:n] >= self.first) & (ids[:n] <= self.last))
         for k in range(1, self.words):
-            live &= ids[k : n + k] > 0
-        at = np.flatnonzero(live)
-        at = at[(ids[at] >> (8 * self.digits)) == 0]
+            at = at[ids[at + k] > 0]
         state = np.zeros(len(at), dtype=np.int32)
         for k in range(self.words):
             for digit in range(self.digits)[::-1]:
@@ -324,59 +326,76 @@ def full_buckets(blocks: DataFrame, bits: int, least: int) -> np.ndarray:
     return full
 
 
-def _distinct(columns: np.ndarray) -> np.ndarray:
-    """The distinct columns of rows of numbers, in order."""
-    columns = columns[:, np.lexsort(columns[::-1])]
-    new = np.ones(columns.shape[1], dtype=bool)
-    new[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
-    return columns[:, new]
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their counts."""
+    together = np.concatenate([np.zeros(0, dtype=np.int64), *keys])
+    order = np.argsort(together)
+    together = together[order]
+    starts = np.flatnonzero(np.r_[True, together[1:] != together[:-1]]) if len(together) else order
+    sums = np.add.reduceat(np.concatenate(counts)[order], starts) if len(starts) else starts
+    return together[starts], sums
 
 
-def candidates(blocks: DataFrame, words: list[str], bits: int, least: int) -> DataFrame:
-    """The distinct phrases of which both parts are frequent and whose bucket is full, as numbers of words.
+def candidates(blocks: DataFrame, words: list[str], bits: int, least: int, parts: DataFrame | None = None) -> DataFrame:
+    """The phrases said ``least`` times or more of which both parts are frequent, as numbers of words.
 
-    A task sends what it has found as sorted, compressed arrays, one for each share
-    of the buckets, and each share is put together in one place.
+    A task sends what falls into full buckets, as sorted, compressed arrays with its
+    counts, one for each share of the buckets; each share is summed up in one place.
+    ``parts`` has the words of the parts, by ``id``; without it they are words themselves.
     """
     spark = blocks.sparkSession
     sieve = spark.sparkContext.broadcast(full_buckets(blocks, bits, least))
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent, found = (to_arrow_schema(StructType.fromDDL(t)) for t in ("share int, data binary", ", ".join(f"{w} int" for w in words)))
+    sent_type, found_type = "share int, keys binary, counts binary", "left int, right int"
+    sent, found = (to_arrow_schema(StructType.fromDDL(t)) for t in (sent_type, found_type))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full, held = sieve.value, np.zeros((len(words) + 1, 0), dtype=np.int32)
-
-        def send() -> pa.RecordBatch:
-            cuts = np.searchsorted(held[0], np.arange(shares + 1))
-            rows = [(n, _pack(held[1:, cuts[n] : cuts[n + 1]])) for n in range(shares) if cuts[n] < cuts[n + 1]]
+        full, held, more = sieve.value, [], 0
+
+        def send(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            share = _bucket(keys >> 32, keys & 0xFFFFFFFF, bits) % shares
+            order = np.argsort(share, kind="stable")
+            keys, counts, cuts = keys[order], counts[order], np.searchsorted(share[order], np.arange(shares + 1))
+            rows = [
+                (n, _pack(np.diff(keys[cuts[n] : cuts[n + 1]], prepend=0)), _pack(counts[cuts[n] : cuts[n + 1]]))
+                for n in range(shares) if cuts[n] < cuts[n + 1]
+            ]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), sent, strict=True)], schema=sent)
 
         for *_, ids, states in _blocks(batches):
-            at, left, right = _pairs(ids, states)
+            _, left, right = _pairs(ids, states)
             bucket = _bucket(left, right, bits)
             on = (full[bucket >> 3] >> (7 - (bucket & 7)) & 1) > 0
-            more = np.stack([bucket[on] % shares, *(ids[at[on] + k] for k in range(len(words)))]).astype(np.int32)
-            held = _distinct(np.concatenate([held, more], axis=1))
-            if held.shape[1] > HELD:
-                yield send()
-                held = held[:, :0]
-        if held.shape[1]:
-            yield send()
+            held.append(np.unique(left[on] << 32 | right[on], return_counts=True))
+            more += len(held[-1][0])
+            if more > HELD:
+                held = [_summed(*zip(*held))]
+                more = 0
+                if len(held[0][0]) > HELD:
+                    yield send(*held.pop())
+        if held and len((rest := _summed(*zip(*held)))[0]):
+            yield send(*rest)
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for share, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = held.setdefault(share, [])
-                parts.append(_unpack(data, "<i4").reshape(len(words), -1))
-                if sum(p.shape[1] for p in parts[1:]) > max(HELD, parts[0].shape[1]):  # what came since is more than what is merged
-                    parts[:] = [_distinct(np.concatenate(parts, axis=1))]
-        for parts in held.values():
-            columns = _distinct(np.concatenate(parts, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], schema=found)
-
-    by_share = blocks.mapInArrow(find, "share int, data binary").repartition(shares, "share")
-    return by_share.mapInArrow(join, ", ".join(f"{w} int" for w in words))
+            for share, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = held.setdefault(share, [])
+                got.append((np.cumsum(_unpack(keys, "<i8")), _unpack(counts, "<i8")))
+                if sum(len(keys) for keys, _ in got[1:]) > max(HELD, len(got[0][0])):  # what came since is more than what is merged
+                    got[:] = [_summed(*zip(*got))]
+        for got in held.values():
+            keys, counts = _summed(*zip(*got))
+            keys = keys[counts >= least]
+            columns = [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, schema=found)
+
+    pairs = blocks.mapInArrow(find, sent_type).repartition(shares, "share").mapInArrow(join, found_type)
+    if parts is None:
+        return pairs.toDF(*words)
+    first = parts.select(F.col("id").cast("int").alias("left"), *words[:-1])
+    last = parts.select(F.col("id").cast("int").alias("right"), F.col(words[-2]).alias(words[-1]))
+    return pairs.join(first, "left").join(last, "right").select(*words)
 
 
 def _phrase_rows(phrases: DataFrame, words: list[str], start: int, size: int) -> np.ndarray:
@@ -472,14 +491,15 @@ def counted_phrases(docs: DataFrame, least: int, size: int) -> tuple[DataFrame,
     forget(blocks)
     bits = bits_for(words.agg(F.sum("f")).first()[0] or 0)
 
-    def frequent(states: DataFrame, spread: list[str]) -> DataFrame:
-        asked = numbered(candidates(states, spread, bits, least), "phrase-candidates")
-        found = asked.join(count_phrases(ids, asked, spread, size, least), "id").drop("id")
-        return numbered(found, "phrases")
+    def frequent(states: DataFrame, spread: list[str], parts: DataFrame | None = None) -> DataFrame:
+        found = saved(candidates(states, spread, bits, least, parts), "phrase-candidates")
+        asked = numbered(found.repartitionByRange(*spread).sortWithinPartitions(*spread), "phrase-candidates")
+        found = asked.join(count_phrases(ids, asked, spread, size, least), "id")
+        return numbered(found.repartitionByRange("id").sortWithinPartitions("id").drop("id"), "phrases")
 
     pairs = frequent(ids, ["w1", "w2"])
     states = with_states(ids, pairs, ["w1", "w2"], size)
-    triples = frequent(states, ["w1", "w2", "w3"])
+    triples = frequent(states, ["w1", "w2", "w3"], pairs)
     forget(states)
     return totals, words, pairs, triples
 
