@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from satzwerk.functions import fixed, text as tx
+from satzwerk.operators.kept import kept
 from satzwerk.operators.lexicon import Rewrites
 from satzwerk.operators.reference import ReferenceTable, lookup_tokens
 from satzwerk.operators.settled import settled
@@ -44,13 +45,14 @@ def _of_length(n: int, key: Column) -> Column:
     return F.concat(F.lit(f"{n} "), key)
 
 
-def _joined_rules(frame: DataFrame, tables: Mapping[int, ReferenceTable], tokens: str) -> DataFrame:
+def _joined_rules(frame: DataFrame, tables: Mapping[int, ReferenceTable], tokens: str, keep: bool) -> DataFrame:
     """Add ``_rule{n}`` for rules of tables that need a join.
 
     The first tokens of all rules are looked up at first, with the lengths of the rules
     that begin so; only windows of these lengths are made there, and all of them are
     looked up together. The first look-up is planned twice, for the rows and for what they
-    ask the second one, however many lengths there are.
+    ask the second one, however many lengths there are; with ``keep`` it runs once, now,
+    and what it moved is off the disk before the second one.
     """
     how = "shuffled" if any(table.how == "shuffled" for table in tables.values()) else "broadcast"
     if list(tables) == [1]:
@@ -68,6 +70,7 @@ def _joined_rules(frame: DataFrame, tables: Mapping[int, ReferenceTable], tokens
         windows.append(F.transform(keys, partial(_of_length, n)))
         rules.append(table.frame.select(_of_length(n, F.col("key")).alias("key"), "value"))
     frame = settled(frame, _keys=F.concat(*windows)).drop("_starts")
+    frame = kept(frame, "rule-windows") if keep else frame
     together = ReferenceTable(rules[0].schema["value"].dataType.simpleString(), how, frame=reduce(DataFrame.unionAll, rules))
     frame = lookup_tokens(frame, "_keys", together, "_hits")
     size = F.array_size(tokens)
@@ -101,11 +104,12 @@ def _chosen_rules(found: list[Column], lengths: list[int]) -> Column:
     return F.split(F.array_join(shown, ""), "")
 
 
-def rewrite_tokens(frame: DataFrame, rewrites: Rewrites, tokens: str, out: str) -> DataFrame:
+def rewrite_tokens(frame: DataFrame, rewrites: Rewrites, tokens: str, out: str, keep: bool = False) -> DataFrame:
     """Replace tokens of an ARRAY<STRING> column by rules of any number of tokens.
 
     From left to right the longest rule that starts at a token counts, and the next
-    one starts behind it. NULL stays NULL.
+    one starts behind it. NULL stays NULL. ``keep`` writes the rows to the shared folder
+    between the two look-ups of rules that need a join; otherwise only a plan is made.
     """
     lengths = sorted(rewrites.tables)
     if not lengths:
@@ -126,7 +130,7 @@ def rewrite_tokens(frame: DataFrame, rewrites: Rewrites, tokens: str, out: str)
         frame = lookup_tokens(settled(frame, _keys=keys), "_keys", table, column)
     joined = {n: rewrites.tables[n] for n in lengths if rewrites.tables[n].how != "inline"}
     if joined:
-        frame = _joined_rules(frame, joined, tokens)
+        frame = _joined_rules(frame, joined, tokens, keep)
     found = [F.col(column) for column in columns]
     entries = F.arrays_zip(F.col(tokens).alias("token"), *found, _chosen_rules(found, lengths).alias("sign"))
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from satzwerk.functions import fixed
+from satzwerk.operators.kept import kept
 from satzwerk.operators.reference import ReferenceTable, table_bytes
 
 TAG_TYPE = "struct<lemma:string,upos:string,tense:string>"
@@ -305,11 +306,12 @@ class Rewrites:
 
         Of several rules for the same tokens the one of the smallest ``dst`` counts.
         The numbers of tokens that occur come to the driver, with the bytes of their rules.
+        The rules are kept in files, as each look-up reads those of each number of tokens.
         """
         rules = frame.where("size(src) > 0 AND dst IS NOT NULL").select(
             F.array_size("src").alias("n"), F.array_join("src", " ").alias("key"), F.col("dst").alias("value")
         )
-        best = rules.groupBy("n", "key").agg(F.min("value").alias("value"))
+        best = kept(rules.groupBy("n", "key").agg(F.min("value").alias("value")), "rules")
         sizes = {row.n: row.bytes for row in best.groupBy("n").agg(table_bytes().alias("bytes")).collect()}
 
         def table(n: int) -> ReferenceTable:

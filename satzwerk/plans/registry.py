@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from satzwerk.functions import tags, text as tx
 from satzwerk.operators import alignment, answers, correction, spelling, tokens as tk, usage as us
+from satzwerk.operators.kept import scratch_path
 from satzwerk.operators.lexicon import Lexicon, Rewrites, examples_frame, seed_rewrites
 from satzwerk.operators.tagging import tag_texts, word_table
 from satzwerk.plans import metrics as plans
-from satzwerk.sources.sinks import metrics_rows, scratch_path
+from satzwerk.sources.sinks import metrics_rows
 from satzwerk.sources.texts import drop_blank, read_texts, spread
 
 # The words of the test tables are invented; these rewrites occur in them.
@@ -154,7 +155,7 @@ def rewrite_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = texts.where((F.col("lang") == "de") & (F.array_size("tokens") >= n)).select(
         n.alias("n"), src.alias("src"), F.array(F.concat(F.lit("<"), F.array_join(src, " "), F.lit(">"))).alias("dst")
     )
-    done = correction.rewrite_tokens(texts, Rewrites.from_frame(rules, inline_bytes=0), "tokens", "_out")
+    done = correction.rewrite_tokens(texts, Rewrites.from_frame(rules, inline_bytes=0), "tokens", "_out", keep=True)
     return done.select("doc_id", tags.size_of(F.col("_out")).alias("n_tokens"), F.array_join("_out", " ").alias("rewritten"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from satzwerk.operators import alignment as al, answers as an, correction as co, tokens as tk
+from satzwerk.operators.lexicon import Rewrites
 
 
 def test_backends_take_a_batch_in_slices(monkeypatch):
@@ -61,3 +62,19 @@ def test_offsets_need_no_window_for_ids_that_stand_once(spark):
     assert "Window" not in plan and "Sort" not in plan
     both = sorted(r.end_char for r in tk.token_offsets(frame).where("text_id = 3").collect())
     assert both == [2, 4, 5, 6, 10, 14]
+
+
+def test_kept_rows_of_rules_are_looked_up_once(spark):
+    rows = [(1, ["a", "b", "c", "d"]), (1, ["a", None, "x", "d"]), (None, ["d"]), (2, []), (3, None), (1, ["a", "b", "c", "d"])]
+    texts = spark.createDataFrame(rows, "text_id bigint, tokens array<string>")
+    rules = [(1, ["d"], ["D"]), (2, ["a", "b"], ["AB"]), (3, ["a", "b", "c"], ["ABC"]), (3, ["a", "b", "c"], ["Z"])]
+    frame = spark.createDataFrame(rules, "n int, src array<string>, dst array<string>")
+    for limits in ({"inline_bytes": 0}, {"inline_bytes": 0, "broadcast_bytes": 0}):
+        rewrites = Rewrites.from_frame(frame, **limits)
+        plan, done = (co.rewrite_tokens(texts, rewrites, "tokens", "out", keep=keep) for keep in (False, True))
+        assert done.columns == plan.columns
+        assert sorted(map(tuple, done.collect()), key=repr) == sorted(map(tuple, plan.collect()), key=repr)
+        shown = done._jdf.queryExecution().optimizedPlan().toString()
+        assert shown.count("FlatMapCoGroupsInArrow") == 1
+        # The rules come from their files and are not made again in each look-up.
+        assert "min(value" not in shown
